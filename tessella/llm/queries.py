@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, sharding
+from pyspark.sql import functions as F
+
+from tessella.llm import mixing, packing, sharding, simhash, tokens
 
 
 def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pack_sum_of_squares(spark, sf_dir):
+    pieces = packing.pack(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op2_token_counts(spark, sf_dir):
+    return tokens.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -17,10 +28,18 @@ def op8_stratified_shards(spark, sf_dir):
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 def queries():
     return {
+        "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
+        "op2_token_counts": op2_token_counts,
         "op7_mix_sources": op7_mix_sources,
         "op8_stratified_shards": op8_stratified_shards,
+        "op9_simhash": op9_simhash,
     }
 
 
