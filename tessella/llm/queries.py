@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, packing, sharding, simhash, tokens
+from tessella.llm import mixing, packing, sharding, simhash, sketch, suffix, tokens, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,18 @@ def op2_token_counts(spark, sf_dir):
     return tokens.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix.digests(suffix.repeated(_table(spark, sf_dir, "documents")))
+
+
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op6_bottom_k(spark, sf_dir):
+    return sketch.against_edits(_table(spark, sf_dir, "documents"))
+
+
 def op7_mix_sources(spark, sf_dir):
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +49,9 @@ def queries():
     return {
         "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
         "op2_token_counts": op2_token_counts,
+        "op4_suffix_dedup": op4_suffix_dedup,
+        "op5_warc": op5_warc,
+        "op6_bottom_k": op6_bottom_k,
         "op7_mix_sources": op7_mix_sources,
         "op8_stratified_shards": op8_stratified_shards,
         "op9_simhash": op9_simhash,
