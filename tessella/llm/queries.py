@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, packing, sharding, simhash, sketch, suffix, tokens, warc
+from tessella.llm import mixing, packing, sharding, simhash, sketch, suffix, tokens, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -20,6 +20,11 @@ def op2_token_counts(spark, sf_dir):
     return tokens.token_counts(_table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op3_toxicity(spark, sf_dir):
+    scored = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op4_suffix_dedup(spark, sf_dir):
     return suffix.digests(suffix.repeated(_table(spark, sf_dir, "documents")))
 
@@ -49,6 +54,7 @@ def queries():
     return {
         "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
         "op2_token_counts": op2_token_counts,
+        "op3_toxicity": op3_toxicity,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_warc": op5_warc,
         "op6_bottom_k": op6_bottom_k,
