@@ -2,14 +2,21 @@
 
 The texts' white space splits them into units.  The tokenizers here never make
 a token that runs from a visible character into white space, so that the ids
-of a text are those of its units in turn.  Each distinct unit is encoded by the
-library once a worker and then looked up.  Texts with the four control
+of a text are those of its units in turn.  Each distinct unit is encoded once
+and then looked up, in a cache of two generations.  Texts with the four control
 characters that Python, but not the library, takes for white space go to the
 library whole.
+
+Units of ASCII and Latin letters that are not in the cache go to a faster
+byte-pair encoder over the same merges.  It merges the adjacent pair whose
+joined bytes have the lowest rank; as every token of a trained vocabulary is
+what its own bytes encode to, these are the merges of the file.  All other
+units go to the library.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import sys
@@ -21,7 +28,12 @@ from pyspark.sql import functions as F
 UNITS = re.compile(r"\s*\S+|\s+")
 #: White space to Python, but not to the library.
 ODD = re.compile("[\x1c-\x1f]")
-CACHE_UNITS = 400_000
+#: Units whose letters, digits and case are beyond doubt: ASCII, and Latin letters that lower to one letter.
+PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017e]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017e]+")
+#: Ends of words and of units, in what the fast encoder reads; ODD keeps them out of units.
+WORD_END, UNIT_END = "\x1f", "\x1e"
+CACHE_UNITS = 250_000
 CACHE_CHARS = 64
 
 
@@ -51,12 +63,72 @@ def tokenizer(path: str):
     return _kept(("tokenizer", path), make)
 
 
+def byte_of_char() -> dict[str, int]:
+    """The printable characters that stand for bytes in byte-level vocabularies:
+    visible Latin-1 stands for itself, the rest follow from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+def fast_encoder(path: str):
+    """The merges of a tokenizer file for the faster encoder, or None if the
+    file has features that it lacks.  Ids are ranks in such files."""
+
+    def make():
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            whole = json.load(file)
+        model, special = whole["model"], {t["content"] for t in whole["added_tokens"]}
+        end = model.get("end_of_word_suffix") or ""
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+            return None
+        chars = byte_of_char()
+
+        def raw(token):
+            marked = end and token.endswith(end)
+            body = token[: -len(end)] if marked else token
+            return bytes(chars[c] for c in body) + (WORD_END.encode() if marked else b"")
+
+        ranks = {raw(t): n for t, n in model["vocab"].items() if t not in special}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        made = [model["vocab"]["".join(m)] for m in merges]
+        if made != sorted(made) or len(made) + 256 * (1 + bool(end)) != len(ranks):
+            return None
+        import public_tokenizers
+
+        pattern = f"[^{WORD_END}{UNIT_END}]*{WORD_END}|{UNIT_END}" if end else public_tokenizers.PATTERN
+        return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
+
+    return _kept(("fast", path), make)
+
+
+class Cache:
+    """Two generations: what is not met again goes with the older one."""
+
+    def __init__(self):
+        self.young, self.old = {}, {}
+
+    def add(self, made):
+        self.young.update((u, x) for u, x in made.items() if len(u) <= CACHE_CHARS)
+        if len(self.young) > CACHE_UNITS:
+            self.young, self.old = {}, self.young
+
+    def found(self, units):
+        """The values of those units that are in the older generation, now young again."""
+        out = {u: x for u in units if (x := self.old.get(u)) is not None}
+        self.young.update(out)
+        return out
+
+
 class WordIds:
     """Ids of whole texts, as little-endian unsigned 32-bit integers, for a
     tokenizer that drops white space."""
 
     def __init__(self, path: str):
-        self.model, self.cache = tokenizer(path), _kept(("word ids", path), dict)
+        self.model, self.cache, self.fast = tokenizer(path), _kept(("word ids", path), Cache), fast_encoder(path)
+        self.stop = self.fast and self.fast[0].encode_ordinary(UNIT_END)[0]
 
     @staticmethod
     def packed(ids) -> bytes:
@@ -65,48 +137,66 @@ class WordIds:
     def __call__(self, text: str) -> bytes:
         if ODD.search(text):
             return self.packed(self.model.encode(text, add_special_tokens=False).ids)
-        units, cache = text.split(), self.cache
-        found = [*map(cache.get, units)]
+        units, young = text.split(), self.cache.young
+        found = [*map(young.get, units)]
         if None in found:
-            new = [*{u for u, x in zip(units, found) if x is None}]
-            made = {u: self.packed(e.ids) for u, e in zip(new, self.model.encode_batch(new, add_special_tokens=False))}
+            made = self.made({u for u, x in zip(units, found) if x is None})
             found = [made[u] if x is None else x for u, x in zip(units, found)]
-            if len(cache) + len(made) > CACHE_UNITS:
-                cache.clear()
-            cache.update((u, x) for u, x in made.items() if len(u) <= CACHE_CHARS)
+            self.cache.add(made)
         return b"".join(found)
 
+    def made(self, new: set[str]) -> dict[str, bytes]:
+        import numpy as np
+
+        out = self.cache.found(new)
+        new = [u for u in new if u not in out]
+        if self.fast:
+            encoder, special = self.fast
+            plain = [u for u in new if PLAIN.fullmatch(u) and not any(x in u for x in special)]
+            if plain:
+                line = "".join([WORD_END.join([*WORDS.findall(u.lower()), UNIT_END]) for u in plain])
+                ids = np.asarray(encoder.encode_ordinary(line), "<u4")
+                raw, stops = ids.tobytes(), (np.flatnonzero(ids == self.stop) * 4).tolist()
+                out.update((u, raw[a:b]) for u, a, b in zip(plain, [0, *(x + 4 for x in stops)], stops))
+                new = [u for u in new if u not in out]
+        if new:
+            out.update((u, self.packed(e.ids)) for u, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
+        return out
+
 
 class UnitCounts:
     """Token counts of whole texts for a byte-level tokenizer: a table of
-    frequent units first, then the worker's cache, then the library."""
+    frequent units first, then the worker's cache, then an encoder."""
 
     def __init__(self, path: str, frequent: dict[str, int]):
-        self.model, self.frequent, self.cache = tokenizer(path), frequent, _kept(("unit counts", path), dict)
+        self.model, self.frequent, self.cache, self.fast = tokenizer(path), frequent, _kept(("unit counts", path), Cache), fast_encoder(path)
 
     def __call__(self, text: str) -> int:
         if ODD.search(text):
-            return len(self.model.encode(text, add_special_tokens=False).ids)
+            return len(self.model.encode(text, add_special_tokens=False))
         units = UNITS.findall(text)
         found = [*map(self.frequent.get, units)]
-        try:
+        if None not in found:
             return sum(found)
-        except TypeError:  # some are None
-            pass
-        cache, total, missed = self.cache, 0, []
-        for u, x in zip(units, found):
-            if x is None and (x := cache.get(u)) is None:
-                missed.append(u)
-            else:
-                total += x
-        if missed:
-            new = [*{*missed}]
-            made = {u: len(e.ids) for u, e in zip(new, self.model.encode_batch(new, add_special_tokens=False))}
-            total += sum(map(made.__getitem__, missed))
-            if len(cache) + len(made) > CACHE_UNITS:
-                cache.clear()
-            cache.update((u, x) for u, x in made.items() if len(u) <= CACHE_CHARS)
-        return total
+        rare = [u for u, x in zip(units, found) if x is None]
+        total, found = sum(filter(None, found)), [*map(self.cache.young.get, rare)]
+        if None in found:
+            made = self.made({u for u, x in zip(rare, found) if x is None})
+            found = [made[u] if x is None else x for u, x in zip(rare, found)]
+            self.cache.add(made)
+        return total + sum(found)
+
+    def made(self, new: set[str]) -> dict[str, int]:
+        out = self.cache.found(new)
+        new = [u for u in new if u not in out]
+        if self.fast:
+            encoder, special = self.fast
+            one = encoder.encode_ordinary
+            out.update((u, len(one(u))) for u in new if PLAIN.fullmatch(u) and not any(x in u for x in special))
+            new = [u for u in new if u not in out]
+        if new:
+            out.update((u, len(e)) for u, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)))
+        return out
 
 
 #: The table of frequent units: its size, and about how many documents it is drawn from.

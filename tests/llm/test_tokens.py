@@ -25,6 +25,47 @@ def test_counts_equal_the_library(make_docs, hard_rows):
         assert got[i].n_bytes == len((t or "").encode())
 
 
+def test_every_token_is_what_its_bytes_encode_to():
+    """What makes the fast encoder's merges those of the file."""
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encoder, _ = tokens.fast_encoder(public_tokenizers.path(name))
+        one = encoder._core_bpe.encode_single_piece
+        wrong = [t for t, n in encoder._mergeable_ranks.items() if one(t) != [n]]
+        assert not wrong
+        import json
+
+        model = json.load(open(public_tokenizers.path(name)))["model"]
+        chars, end = tokens.byte_of_char(), model["end_of_word_suffix"] or "\0"
+        raw = lambda t: bytes(chars[c] for c in t.removesuffix(end)) + (b"\x1f" if t.endswith(end) else b"")
+        # merges of lower rank alone give the two parts of each merge
+        from random import Random
+
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        for k in Random(1).sample(range(len(merges)), 300):
+            a, b = merges[k]
+            rank = encoder._mergeable_ranks[raw(a) + raw(b)]
+            parts = [bytes([c]) for c in raw(a) + raw(b)]
+            while True:
+                best = min(((encoder._mergeable_ranks.get(x + y, rank), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))), default=(rank, 0))
+                if best[0] >= rank:
+                    break
+                parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+            assert parts == [raw(a), raw(b)]
+
+
+def test_words_of_many_kinds():
+    import random
+
+    r = random.Random(4)
+    wide, word = library_cached("byte_bpe_50k.json"), library_cached("word_bpe_49k.json")
+    ids, counts = tokens.WordIds(public_tokenizers.path("word_bpe_49k.json")), tokens.UnitCounts(public_tokenizers.path("byte_bpe_50k.json"), {})
+    letters = "abcdefghijklmnopqrstuvwxyzéèçÉßÀñüŁŒÿ0123456789'.,-!ABC_#|%"
+    for _ in range(300):
+        text = " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 14))) for _ in range(60))
+        assert np.frombuffer(ids(text), "<u4").tolist() == word.encode(text, add_special_tokens=False).ids
+        assert counts(text) == len(wide.encode(text, add_special_tokens=False).ids)
+
+
 ALPHABET = st.text(st.sampled_from(list(" \n\t'asdtrevml.,!19é ́İΣ\x1c日<|>")) | st.characters(codec="utf-8"), max_size=40)
 
 
