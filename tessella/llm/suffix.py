@@ -103,7 +103,11 @@ def least_in_windows(h, width: int):
 
 
 def pieces_of(rolling: Rolling, data, length: int = LENGTH, anchor: int = ANCHOR):
-    """(anchor hash, content hash, start, windows) arrays of the pieces of one segment."""
+    """(anchor hash, content hash, start, windows, inner) arrays of the pieces of one segment.
+
+    ``inner``: the anchor's hash stands at two places of the piece at least;
+    only then can two of the piece's own windows be equal.
+    """
     np = rolling.np
     sums = rolling.sums(data)
     at = np.arange(len(data) - anchor + 1)
@@ -119,11 +123,15 @@ def pieces_of(rolling: Rolling, data, length: int = LENGTH, anchor: int = ANCHOR
         starts = np.repeat(starts, parts) + inner * MOST_WINDOWS
         sizes = np.minimum(MOST_WINDOWS, ends - starts)
     content = rolling.mixed(rolling.between(sums, starts, starts + sizes + length - 1) + sizes.astype(np.uint64))
-    return least[starts], content, starts, sizes
+    width, value = length - anchor + 1, least[starts]
+    within = np.lib.stride_tricks.sliding_window_view(grams, width)
+    leftmost = starts + (within[starts] == value[:, None]).argmax(axis=1)
+    rightmost = starts + sizes + width - 2 - (within[starts + sizes - 1] == value[:, None])[:, ::-1].argmax(axis=1)
+    return value, content, starts, sizes, rightmost > leftmost
 
 
 #: A piece, as it is shuffled.
-PIECE = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "u1")]
+PIECE = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("inner", "u1")]
 #: Windows of a document that go (kind 0) or that are to be compared: all pieces of an anchor (1) or window by window (2).
 MARK = [("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("kind", "u1"), ("anchor", "<u8")]
 
@@ -202,9 +210,9 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8) if text else b""
                 for at in range(0, len(data) - length + 1, SEGMENT):
-                    a, c, s, n = pieces_of(rolling, data[at : at + SEGMENT + length - 1], length)
+                    a, c, s, n, inner = pieces_of(rolling, data[at : at + SEGMENT + length - 1], length)
                     own = np.empty(len(a), PIECE)
-                    own["anchor"], own["content"], own["doc"], own["start"], own["windows"] = a, c, doc, s + at, n
+                    own["anchor"], own["content"], own["doc"], own["start"], own["windows"], own["inner"] = a, c, doc, s + at, n, inner
                     held.append(own)
                 size += len(data)
                 if held and size >= FLUSH_BYTES:
@@ -234,7 +242,7 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
                         continue
                     pieces, first, contents, _ = judged(pieces)
                     hot = (contents > CONTENTS) | np.isin(pieces["anchor"], split)
-                    made = np.concatenate([marks(pieces[~first], 0), marks(pieces[first & hot], 2), marks(pieces[first & ~hot & (contents > 1)], 1)])
+                    made = np.concatenate([marks(pieces[~first], 0), marks(pieces[first & hot], 2), marks(pieces[first & ~hot & ((contents > 1) | (pieces["inner"] > 0))], 1)])
                 if out := bucket_rows(0, made, fold(made["doc"], doc_buckets)):
                     yield pa.record_batch([pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "blob"])
 

@@ -52,6 +52,9 @@ def corpus():
         rows[k] = t
     for k in range(90, 260):
         rows[k] = words(r, 12) + "\n" + line + "\n" + (line[5:] if k % 3 else "") + words(r, 12)
+    for k in range(260, 300):  # stretches with a period, short and long, and their borders
+        unit = words(r, r.randrange(1, 12)) + " "
+        rows[k] = words(r, r.randrange(0, 30)) + unit * r.randrange(2, 30) + words(r, r.randrange(0, 30)) + unit * r.randrange(0, 9)
     return rows
 
 
@@ -101,13 +104,16 @@ def test_longest_previous_factors(text, seed):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text("abc ", min_size=100, max_size=700))
+@given(st.one_of(st.text("abc ", min_size=100, max_size=700), st.builds(lambda a, u, n, b: a + u * n + b, st.text("abc ", max_size=60), st.text("abc ", min_size=30, max_size=140), st.integers(4, 9), st.text("abc ", max_size=60))))
 def test_pieces_cover_all_windows(text):
     data = np.frombuffer(text.encode(), np.uint8)
     rolling = suffix.Rolling()
-    anchor, content, start, n = suffix.pieces_of(rolling, data)
+    anchor, content, start, n, inner = suffix.pieces_of(rolling, data)
     assert start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and start[-1] + n[-1] == len(data) - 99
     by = {}
     for a, s, k in zip(anchor, start, n):
         for x in range(s, s + k):
             assert by.setdefault(text[x : x + 100], a) == a
+    for s, k, repeats in zip(start, n, inner):
+        own = [text[x : x + 100] for x in range(s, s + k)]
+        assert repeats or len(set(own)) == len(own)
