@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, packing, sharding, simhash, sketch, suffix, tokens, toxicity, warc
+from tessella.llm import embeddings, mixing, packing, sharding, simhash, sketch, suffix, tokens, toxicity, warc
 
 
 def _table(spark, sf_dir, name):
@@ -50,6 +50,10 @@ def op9_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
 
 
+def op10_cross_polytope(spark, sf_dir):
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {
         "op1_pack_sum_of_squares": op1_pack_sum_of_squares,
@@ -61,6 +65,7 @@ def queries():
         "op7_mix_sources": op7_mix_sources,
         "op8_stratified_shards": op8_stratified_shards,
         "op9_simhash": op9_simhash,
+        "op10_cross_polytope": op10_cross_polytope,
     }
 
 
