@@ -137,6 +137,14 @@ def fit(rows) -> dict:
     return {"ordinary": ordinary, "toxic": taught, "weights": logistic([savings(t) for t, _ in rest], [y for _, y in rest])}
 
 
+def scorer(model: dict):
+    """The score of a text under a fitted model."""
+    if "constant" in model:
+        return lambda _: model["constant"]
+    savings, (*weights, base) = Savings(model["ordinary"], model["toxic"]), model["weights"]
+    return lambda t: 1 / (1 + math.exp(-max(-30.0, min(30.0, base + sum(w * x for w, x in zip(weights, savings(t)))))))
+
+
 def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
@@ -159,11 +167,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
-        if "constant" in model:
-            score = lambda _: model["constant"]
-        else:
-            savings, (*weights, base) = Savings(model["ordinary"], model["toxic"]), model["weights"]
-            score = lambda t: 1 / (1 + math.exp(-max(-30.0, min(30.0, base + sum(w * x for w, x in zip(weights, savings(t)))))))
+        score = scorer(model)
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
@@ -171,7 +175,16 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score")
 
 
-def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """``docs`` without those whose score reaches ``threshold``."""
-    bad = scores(docs, labels).where(F.col("score") >= threshold).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """``docs`` without those whose score reaches ``threshold``, in one pass without a shuffle."""
+    import pyarrow as pa
+
+    model = fit(sample(docs, labels, id_col, text_col, label_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        score = scorer(model)
+        for batch in batches:
+            yield batch.filter(pa.array([score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
