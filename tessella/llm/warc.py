@@ -47,6 +47,8 @@ EPOCH = "2024-01-01T00:00:00Z"
 def open_fs(uri: str):
     from pyarrow import fs
 
+    if uri.startswith("file:/"):  # with one slash or three
+        uri = "/" + uri.removeprefix("file:").lstrip("/")
     return fs.FileSystem.from_uri(uri)
 
 
