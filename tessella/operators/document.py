@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import AlreadyExists, FailedPrecondition, InvalidArgument, NotFound
-from tessella.functions.scalar import RANK, SPARK_TYPE, kind_of_value, literal, numeric
-from tessella.functions.scalar import OPS
+from tessella.functions.scalar import OPS, RANK, SPARK_TYPE, kind_of_value, literal, numeric
 from tessella.operators import predicate as P
 from tessella.operators.relational import last_by
 from tessella.operators.validate import document_error
@@ -140,3 +139,10 @@ class Documents:
 def upserted(puts: DataFrame) -> DataFrame:
     """(key, doc, __seq) puts reduced to the last one of each key."""
     return last_by(puts.select("key", F.to_json("doc").alias("j"), SEQ), ["key"]).select("key", F.parse_json("j").alias("doc"))
+
+
+def duplicates(docs: DataFrame, name: str, kind: str, ignore_nulls: bool = True) -> DataFrame:
+    """(value, count) of a field's values that more than one document has, by text form."""
+    from tessella.operators.validate import duplicates as of_column
+
+    return of_column(docs.select(field(F.col("doc"), name, kind).alias("f")), "f", ignore_nulls)
