@@ -46,10 +46,10 @@ ANCHOR = 24
 FLUSH_BYTES = 16 << 20
 SEGMENT = 1 << 17
 #: An anchor with more contents than this (in a flush, or in all) is split by window.
-CONTENTS = 64
+CONTENTS = 4096
 MOST_WINDOWS = 255
 #: Bytes of candidate pieces in one suffix array, at least up to the end of a group.
-SUFFIX_BYTES = 4 << 20
+SUFFIX_BYTES = 1 << 20
 
 
 class Rolling:
@@ -355,8 +355,11 @@ def compared(pieces: DataFrame, doc_buckets: int, length: int) -> DataFrame:
         doc, start, size = (table.column(c).to_numpy() for c in ("doc", "start", "windows"))
         known = size == 0
         made = [np.stack([doc[known], start[known], np.ones(known.sum(), np.int64)], axis=1)]
-        table = table.filter(pa.array(~known))
-        doc, start, size = doc[~known], start[~known], size[~known].astype(np.int64)
+        key = table.column("key").to_numpy()
+        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        use = ~known & ~((size == 1) & new[:-1] & new[1:])  # a window that nothing else shares came first
+        table = table.filter(pa.array(use))
+        doc, start, size = doc[use], start[use], size[use].astype(np.int64)
         if len(doc):
             data = np.frombuffer(b"".join(table.column("content").to_pylist()), np.uint8)
             begin = np.cumsum(size + length - 1) - (size + length - 1)
