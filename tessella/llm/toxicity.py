@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
 One zstandard dictionary is trained on ordinary text, another on toxic text:
-on those words of toxic documents that toxic documents have significantly more
-often.  A window of sixteen words is compressed with the ordinary dictionary
+on those words of toxic documents that they, or whose beginnings, toxic documents
+have significantly more often.  A window of twelve words is compressed with the ordinary dictionary
 and with both joined (the toxic one lies farther back, so that what both find
 in the ordinary one costs the same); the bytes that toxic words save mark it.
 A logistic model of the windows' savings, fitted on labelled documents that the
-dictionaries have not seen, gives the score.
+dictionaries have not seen (fold by fold), gives the score.
 
 The fit uses a bounded, hash-drawn sample of labelled rows (``SAMPLE``), and at
 most ``EXCERPT`` characters of each; every text is scored whole.  Near copies
@@ -27,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each kind that the fit draws, and characters of each.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1500, 0: 4000}
 EXCERPT = 20_000
-WINDOW = 16
+WINDOW = 12
 LEVEL = 12
-ORDINARY_BYTES, TOXIC_BYTES = 16_384, 2_048
-#: Significance (log-likelihood ratio) from which a word is toxic.
-EVIDENCE = 40.0
+ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8_192
+#: Folds of the fit: dictionaries of the others give each fold's savings to the logistic model.
+FOLDS = 3
+#: Beginnings of words that are counted besides whole words.
+PREFIXES = (5, 7, 9)
+#: Evidence that a toxic word needs beyond chance.
+MARGIN = 6.0
 EDGES = b".,;:!?()[]\"'"
 
 
@@ -45,10 +49,11 @@ def windows(words: list[bytes], size: int = WINDOW):
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)]
 
 
-def signature(words: list[bytes]) -> int:
+def signature(words: list[bytes]) -> list[int]:
+    """The four smallest hashes of a text's shingles; near copies share one at least, nearly always."""
     import xxhash
 
-    return min(xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4)))
+    return sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))})[:4]
 
 
 def evidence(a: int, b: int, na: int, nb: int) -> float:
@@ -83,16 +88,19 @@ class Savings:
         self.plain, self.both = compressor(ordinary), compressor(toxic + ordinary)
 
     def __call__(self, text: str | None) -> list[float]:
-        """Features of a document: mean, largest and three largest savings, share of windows that save, number of windows."""
+        """Features of a document: mean, largest and three largest savings, the
+        shares of windows that save 1 to 6 bytes at least and that lose some,
+        the number of windows and of those that save 3."""
         parts = windows(words_of(text))
         if not parts:
-            return [0.0] * 5
+            return [0.0] * 12
         saved = [len(self.plain(w)) - len(self.both(w)) for w in parts]
-        top = sorted(saved)[-3:]
-        return [sum(saved) / len(saved), float(max(saved)), sum(top) / len(top), sum(s >= 2 for s in saved) / len(saved), math.log1p(len(saved))]
+        n, top = len(saved), sorted(saved)[-3:]
+        shares = [sum(s >= k for s in saved) / n for k in range(1, 7)]
+        return [sum(saved) / n, float(max(saved)), sum(top) / len(top), *shares, sum(s < 0 for s in saved) / n, math.log1p(n), math.log1p(shares[2] * n)]
 
 
-def logistic(x, y, ridge: float = 1e-2, steps: int = 60):
+def logistic(x, y, ridge: float = 1.0, steps: int = 60):
     """Weights, the constant last, by Newton's method on scaled features."""
     import numpy as np
 
@@ -110,31 +118,60 @@ def logistic(x, y, ridge: float = 1e-2, steps: int = 60):
     return [*(w[:-1] / scale).tolist(), float(w[-1] - (w[:-1] * mean / scale).sum())]
 
 
+def terms(word: bytes) -> list[bytes]:
+    """What is counted for a word: itself and its beginnings."""
+    return [word, *(word[:n] for n in PREFIXES if n < len(word))]
+
+
+def plain_words(words: list[bytes]) -> set[bytes]:
+    return {v for w in words if (v := w.strip(EDGES))}
+
+
+def learn(docs) -> tuple[bytes, bytes]:
+    """The two dictionaries from (text, signature, label) of documents.
+
+    A term of at least three toxic documents is toxic if its log-likelihood
+    ratio exceeds twice the logarithm of the number of such terms, at which by
+    chance about one would pass, and a margin for near copies.
+    """
+    seen, own = set(), ([], [])
+    for text, mark, y in docs:
+        if mark and seen.isdisjoint(mark):
+            own[y].append(text)
+        seen.update(mark)
+    known, other = Counter(), Counter()
+    for text in own[1]:
+        known.update({t for w in plain_words(words_of(text)) for t in terms(w)})
+    known = {t: n for t, n in known.items() if n > 2}
+    for text in own[0]:
+        other.update(known.keys() & {t for w in plain_words(words_of(text)) for t in terms(w)})
+    least, n = 2 * math.log(max(2, len(known))) + MARGIN, (max(1, len(own[0])), len(own[1]))
+    toxic = {t for t, a in known.items() if evidence(a, other[t], n[1], n[0]) >= least}
+    found = [b" " + b" ".join(v for w in words_of(text) if (v := w.strip(EDGES)) and not toxic.isdisjoint(terms(v))) + b" " for text in own[1]]
+    ordinary = []
+    for text in own[0]:
+        ordinary += windows(words_of(text), 32)
+        if len(ordinary) >= 20_000:
+            break
+    return dictionary(ordinary, ORDINARY_BYTES), dictionary([f for f in found if len(f) > 8], TOXIC_BYTES)
+
+
 def fit(rows) -> dict:
     """A model from (text, label) pairs, in an order that has nothing to do with the labels."""
-    rows = [(words_of(t), t, int(y)) for t, y in rows]
-    share = sum(y for *_, y in rows) / len(rows) if rows else 0.0
+    docs = []
+    for text, y in rows:
+        words = words_of(text)
+        docs.append((text, signature(words) if words else [], int(y)))
+    share = sum(y for *_, y in docs) / len(docs) if docs else 0.0
     if not 0 < share < 1:
         return {"constant": share}
-    seen, learn = set(), []
-    for k, (w, _, y) in enumerate(rows):  # two of three teach the dictionaries
-        if k % 3 and w and (s := signature(w)) not in seen:
-            seen.add(s)
-            learn.append((w, y))
-    known = (Counter(), Counter())
-    n = [0, 0]
-    for w, y in learn:
-        n[y] += 1
-        known[y].update({x.strip(EDGES) for x in w})
-    toxic = {x for x, a in known[1].items() if x and evidence(a, known[0][x], n[1], max(1, n[0])) >= EVIDENCE}
-    found = [b" " + b" ".join(v for x in w if (v := x.strip(EDGES)) in toxic) + b" " for w, y in learn if y]
-    ordinary = dictionary([p for w, y in learn if not y for p in windows(w, 32)][:20_000], ORDINARY_BYTES)
-    taught = dictionary([f for f in found if len(f) > 8], TOXIC_BYTES)
-    savings = Savings(ordinary, taught)
-    rest = [(t, y) for k, (_, t, y) in enumerate(rows) if not k % 3]
-    if len({y for _, y in rest}) < 2:
-        rest = [(t, y) for _, t, y in rows]
-    return {"ordinary": ordinary, "toxic": taught, "weights": logistic([savings(t) for t, _ in rest], [y for _, y in rest])}
+    x, labels = [], []
+    for fold in range(FOLDS):
+        savings = Savings(*learn([d for k, d in enumerate(docs) if k % FOLDS != fold]))
+        x += [savings(t) for k, (t, *_) in enumerate(docs) if k % FOLDS == fold]
+        labels += [y for k, (*_, y) in enumerate(docs) if k % FOLDS == fold]
+    ordinary, taught = learn(docs)
+    return {"ordinary": ordinary, "toxic": taught, "weights": logistic(x, labels)}
 
 
 def scorer(model: dict):
