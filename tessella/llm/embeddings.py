@@ -32,7 +32,7 @@ THRESHOLD = 0.93
 TABLES = 10
 SEED = 90210
 #: Vectors of a bucket that are compared in one place; above it the bucket is cut.
-CHUNK = 4096
+CHUNK = 512
 
 
 def hashes_for(n: int, axes: int) -> int:

@@ -49,7 +49,7 @@ def result(spark, rows):
     return {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_duplicates(df).collect()}
 
 
-@pytest.mark.parametrize("chunk", [4096, 16])
+@pytest.mark.parametrize("chunk", [512, 16])
 def test_against_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(embeddings, "CHUNK", chunk)
     rows = corpus()
