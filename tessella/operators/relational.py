@@ -217,14 +217,3 @@ def last_by(df: DataFrame, keys: list[str], seq: str = SEQ) -> DataFrame:
     """The latest row of each key, by one aggregation with map-side combining."""
     rest = [c for c in df.columns if c not in keys]
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(seq)).alias("_")).select(*keys, "_.*")
-
-
-def page(df: DataFrame, order: list[str], size: int, number: int) -> DataFrame:
-    from tessella.errors import OutOfRange
-
-    if size <= 0 or number < 0:
-        raise OutOfRange(f"no page {number} of size {size}")
-    return df.orderBy(*order).offset(number * size).limit(size)
-
-
-

@@ -6,7 +6,7 @@ Column constraints travel in the field metadata of a StructType, so that
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, replace
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import types as T
 
@@ -153,7 +153,3 @@ class SeriesSchema:
 
     def table(self) -> TableSchema:
         return TableSchema([Column(self.timestamp, "int", nullable=False), *self.tags, *self.values])
-
-
-def nullable(column: Column) -> Column:
-    return replace(column, nullable=True)
