@@ -64,9 +64,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def block_masks(n: int, distance: int = DISTANCE, bits: int = 64) -> list[int]:
     """The bit masks of the block choices: as many blocks as keep the rows of
-    all tables, and the chance meetings in them, fewest."""
+    all tables, and the chance meetings in them, fewest; two whole blocks agree
+    at least, so that small and middling inputs have the same tables."""
     best = None
-    for m in range(distance + 1, distance + 6):
+    for m in range(distance + 2, distance + 6):
         tables = math.comb(m, distance)
         cost = tables * (1 + n / 2 ** (bits * (m - distance) / m) / 3)
         if best is None or cost < best[0]:
