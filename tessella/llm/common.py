@@ -7,9 +7,12 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: A word: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The column of a stage's own row key.
+ROW = "_row"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,16 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with a key of each row, distinct and in the order of ids (nulls
+    last): the id itself where ids are whole numbers, distinct and not null."""
+    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
+    if rows == ids and isinstance(docs.schema[id_col].dataType, IntegralType):
+        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+    order = [F.col(id_col).asc_nulls_last(), F.xxhash64(text_col).asc()]
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def buckets_for(n: int) -> int:
     """About sqrt(n): as many hash ranges as rows in each, so that neither the
     table of ranges nor a range grows beyond the root of the input."""
