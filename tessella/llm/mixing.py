@@ -51,8 +51,9 @@ def targets(sizes: DataFrame, max_epochs: int, weights: dict | None = None) -> D
     return sizes.select("_null", "_source", "weight", F.least(F.col("_cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source_size, target, taken), a row for each input row."""
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: dict | None = None, max_epochs: int = MAX_EPOCHS, seed: int = SEED, row_col: str | None = None) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), a row for each input row; with its ``row_col``, if given."""
+    own_key = [row_col] if row_col else []
     rows = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
@@ -60,6 +61,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
             F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_source"),
             word_count(F.col(text_col)).alias("size"),
             shuffle_key(seed, id_col).alias("_key"),
+            *own_key,
         ),
         "mix",
     )
@@ -75,19 +77,20 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     )
     sizes = rows.groupBy("_null", "_source").agg(F.sum("size").alias("source_size"))
     groups = groups.join(targets(sizes, max_epochs, weights), ["_null", "_source"])
-    own = Window.partitionBy("_null", "_source", "_at").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    own = Window.partitionBy("_null", "_source", "_at").orderBy("_key", "doc_id", "size", *own_key).rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.join(groups, ["_null", "_source", "_at"]).withColumn("_before", F.col("_before") + F.sum("size").over(own) - F.col("size"))
     budget = F.floor(F.col("target") + 0.5)
     left = F.greatest(F.lit(0), F.least(F.col("size"), budget % F.col("source_size") - F.col("_before")))
     taken = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")) * F.col("size") + left).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *own_key)
 
 
 def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: a document appears
     once for each time it is taken, the last time cut to the words taken.
-    Ids must be unique."""
-    plan = mixed.where("taken > 0").select(F.col("doc_id").alias(id_col), "size", "taken")
+    ``id_col`` names distinct keys that are not null; ``mixed`` has them as
+    ``doc_id`` or, if ``mix`` was given them as ``row_col``, under their name."""
+    plan = mixed.where("taken > 0").select(F.col(id_col if id_col in mixed.columns else "doc_id").alias(id_col), "size", "taken")
     copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
     out = docs.join(plan, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
     words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")

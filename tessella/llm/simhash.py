@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored
+from tessella.llm.common import ROW, keyed, stored
 from tessella.llm.components import components
 
 WORDS = 4
@@ -172,6 +172,7 @@ def hexadecimal(fp) -> F.Column:
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose component has a smaller id; ids must be unique."""
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """Of the rows of ``docs`` of a component the one with the smallest id (nulls last)."""
+    rows = keyed(docs, id_col, text_col)
+    kept = near_duplicates(rows, ROW, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(ROW))
+    return rows.join(kept, ROW, "left_semi").select(*docs.columns)

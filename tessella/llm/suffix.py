@@ -38,7 +38,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import stored
+from tessella.llm.common import ROW, keyed, stored
 from tessella.llm.simhash import grouped
 
 LENGTH = 100
@@ -448,10 +448,12 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with repeated passages cut from the texts, by whole characters."""
-    kept = repeated(docs, id_col, text_col, whole_characters=True).select(F.col("doc_id").alias("_id"), F.col("kept").cast("string").alias("_kept"))
-    rest = docs.withColumn("_null", F.col(text_col).isNull()).drop(text_col)
-    out = rest.join(kept.dropDuplicates(["_id"]), F.col(id_col) == F.col("_id"))
+    """``docs`` with repeated passages cut from the texts, by whole characters;
+    rows come in the order of ids (nulls last), and ids may repeat."""
+    rows = keyed(docs, id_col, text_col)
+    kept = repeated(rows, ROW, text_col, whole_characters=True).select(F.col("doc_id").alias("_id"), F.col("kept").cast("string").alias("_kept"))
+    rest = rows.withColumn("_null", F.col(text_col).isNull()).drop(text_col)
+    out = rest.join(kept, F.col(ROW) == F.col("_id"))
     out = out.withColumn(text_col, F.when(~F.col("_null"), F.col("_kept")))
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
