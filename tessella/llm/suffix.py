@@ -29,6 +29,7 @@ piece counts as repeated when its anchor and its own hash both agree.
 
 Cases: a null text has no bytes; texts under 100 bytes lose nothing; rows that
 repeat an id must repeat its text and are one document, each with its result;
+rows with a null id lose nothing and take nothing from others;
 an empty table gives an empty result; further columns are ignored.  Ids are
 whole numbers.
 """
@@ -321,7 +322,7 @@ def candidates(rows: DataFrame, doc_buckets: int, length: int) -> DataFrame:
         found = found[np.argsort(found["doc"], kind="stable")]
         ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
         rows, seen = [], {}
-        for doc, text in sorted({i: t for i, t in zip(ids, texts) if t is not None}.items()):
+        for doc, text in sorted({i: t for i, t in zip(ids, texts) if i is not None and t is not None}.items()):
             own = found[slice(*np.searchsorted(found["doc"], [doc, doc + 1]))]
             if not len(own):
                 continue
@@ -405,7 +406,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     doc_buckets = 4 * parts
     marked = stored(found_marks(docs, 4 * parts, doc_buckets, length), "marks")
-    rows = docs.select(F.expr(fold_sql("doc_id", doc_buckets)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("blob"))
+    rows = docs.select(F.coalesce(F.expr(fold_sql("doc_id", doc_buckets)), F.pmod(F.xxhash64("text"), F.lit(doc_buckets))).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("blob"))
     rows = rows.unionByName(marked.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob"))
     rows = rows.repartition(parts, "bucket")
     late = compared(candidates(rows, doc_buckets, length), doc_buckets, length).repartition(parts, "bucket")
