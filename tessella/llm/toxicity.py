@@ -8,8 +8,8 @@ in the ordinary one costs the same); the bytes that toxic words save mark it.
 A logistic model of the windows' savings, fitted on labelled documents that the
 dictionaries have not seen (fold by fold), gives the score.
 
-The fit uses a bounded, hash-drawn sample of labelled rows (``SAMPLE``), and at
-most ``EXCERPT`` characters of each; every text is scored whole.  Near copies
+The fit uses a bounded, hash-drawn sample of labelled rows (``SAMPLE``), each
+with its whole text; every text is scored whole.  Near copies
 count once in the word statistics, by a min-hash of their shingles.
 
 Cases: a null or empty text has no windows and gets the score of no savings;
@@ -26,12 +26,13 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each kind that the fit draws, and characters of each.
+#: Labelled rows of each kind that the fit draws.
 SAMPLE = {1: 1500, 0: 4000}
-EXCERPT = 20_000
 WINDOW = 12
 LEVEL = 12
 ORDINARY_BYTES, TOXIC_BYTES = 32_768, 8_192
+#: Windows that the ordinary dictionary is trained on.
+ORDINARY_WINDOWS = 20_000
 #: Folds of the fit: dictionaries of the others give each fold's savings to the logistic model.
 FOLDS = 3
 #: Beginnings of words that are counted besides whole words.
@@ -127,6 +128,20 @@ def plain_words(words: list[bytes]) -> set[bytes]:
     return {v for w in words if (v := w.strip(EDGES))}
 
 
+def ordinary_windows(texts: list[str]) -> list[bytes]:
+    """Training windows of 32 words, at most ``ORDINARY_WINDOWS``, spread evenly over all texts."""
+    counts = [-(-len(words_of(t)) // 32) for t in texts]
+    total, out, at = max(1, sum(counts)), [], 0
+    take = min(sum(counts), ORDINARY_WINDOWS)
+    for text, n in zip(texts, counts):
+        first, last = -(-at * take // total), -(-(at + n) * take // total)  # the k-th is window k * total // take
+        if first < last:
+            parts = windows(words_of(text), 32)
+            out += [parts[k * total // take - at] for k in range(first, last)]
+        at += n
+    return out
+
+
 def learn(docs) -> tuple[bytes, bytes]:
     """The two dictionaries from (text, signature, label) of documents.
 
@@ -148,12 +163,7 @@ def learn(docs) -> tuple[bytes, bytes]:
     least, n = 2 * math.log(max(2, len(known))) + MARGIN, (max(1, len(own[0])), len(own[1]))
     toxic = {t for t, a in known.items() if evidence(a, other[t], n[1], n[0]) >= least}
     found = [b" " + b" ".join(v for w in words_of(text) if (v := w.strip(EDGES)) and not toxic.isdisjoint(terms(v))) + b" " for text in own[1]]
-    ordinary = []
-    for text in own[0]:
-        ordinary += windows(words_of(text), 32)
-        if len(ordinary) >= 20_000:
-            break
-    return dictionary(ordinary, ORDINARY_BYTES), dictionary([f for f in found if len(f) > 8], TOXIC_BYTES)
+    return dictionary(ordinary_windows(own[0]), ORDINARY_BYTES), dictionary([f for f in found if len(f) > 8], TOXIC_BYTES)
 
 
 def fit(rows) -> dict:
@@ -191,7 +201,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     mine = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("_id"), F.col(label_col).alias("_y")).dropDuplicates(["_id"])
     drawn = [mine.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(n) for y, n in SAMPLE.items()]
     drawn = F.broadcast(drawn[0].unionByName(drawn[1]))  # at most the sample's size
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text_col), 1, EXCERPT).alias("_text")).join(drawn, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(drawn, "_id")
     got = texts.select(F.xxhash64("_id").alias("_h"), "_id", "_text", "_y").toArrow().to_pylist()
     return [(r["_text"], r["_y"]) for r in sorted(got, key=lambda r: (r["_h"], r["_id"], r["_text"] or ""))]
 
