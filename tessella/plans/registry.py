@@ -74,22 +74,21 @@ def series_sql(expression, value="value", start=START, end=2_000_000_000, width=
 
 
 def arrivals(spark, sf_dir) -> DataFrame:
-    """Events in an order of arrival that is not that of time."""
-    e = events(spark, sf_dir)
-    return e.withColumn("arrival", (F.col("event_id") * 7919) % 10_007).where("event_id < 10007").select("event_id", "ts_s", "arrival")
+    """Events in an order of arrival that is not that of time: every 10,007 ids in an order of their own."""
+    block = F.floor(F.col("event_id") / 10_007).cast("long")
+    return events(spark, sf_dir).withColumn("arrival", block * 10_007 + (F.col("event_id") * 7919) % 10_007).select("event_id", "user_id", "ts_s", "arrival")
 
 
 def retention_ttl(spark, sf_dir):
-    return TS.retain_ttl(arrivals(spark, sf_dir), F.col("ts_s"), "arrival", 2_000_000).select("event_id")
+    return TS.retain_ttl(arrivals(spark, sf_dir).drop("user_id"), F.col("ts_s"), "arrival", 2_000_000).select("event_id")
 
 
 def retention_rows(spark, sf_dir):
-    return TS.retain_max_rows(arrivals(spark, sf_dir), F.col("ts_s"), "arrival", 777).select("event_id")
+    return TS.retain_max_rows(arrivals(spark, sf_dir).drop("user_id"), F.col("ts_s"), "arrival", 777).select("event_id")
 
 
 def retention_both(spark, sf_dir):
-    e = events(spark, sf_dir).withColumn("arrival", (F.col("event_id") * 7919) % 10_007).where("event_id < 10007")
-    return TS.retain_both(e.select("event_id", "user_id", "ts_s", "arrival"), F.col("ts_s"), "arrival", 2_000_000, 20, ["user_id"]).select("event_id", "user_id")
+    return TS.retain_both(arrivals(spark, sf_dir), F.col("ts_s"), "arrival", 2_000_000, 20, ["user_id"]).select("event_id", "user_id")
 
 
 def partition_buckets(spark, sf_dir):
