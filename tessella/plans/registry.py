@@ -127,7 +127,7 @@ def edges(spark, sf_dir) -> DataFrame:
 
 
 EDGES = "(SELECT a.event_id AS id, a.user_id AS src, b.user_id AS dst, a.event_type AS type, a.event_id AS seq FROM events a JOIN events b ON b.event_id = a.event_id + 3)"
-#: Few enough edges that paths have several steps.
+#: Few enough edges that paths have several steps; only queries whose SQL says so are cut to them.
 SPARSE = 160
 
 
@@ -139,38 +139,41 @@ def nodes(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
 
 
-def graphs(spark, sf_dir) -> G.Graphs:
+def graphs(spark, sf_dir, links=edges) -> G.Graphs:
     out = G.Graphs(spark)
-    out.register("g", nodes(spark, sf_dir), sparse(spark, sf_dir))
+    out.register("g", nodes(spark, sf_dir), links(spark, sf_dir))
     return out
 
 
 def first_node(spark, sf_dir) -> int:
-    return sparse(spark, sf_dir).orderBy(SEQ).select("src").first().src
+    return edges(spark, sf_dir).orderBy(SEQ).select("src").first().src
 
 
 REACH = f"WITH RECURSIVE e AS (SELECT src, dst, seq FROM {EDGES} WHERE id < {SPARSE}), s AS (SELECT src AS n FROM e ORDER BY seq LIMIT 1), r(n, d) AS (SELECT n, 0 FROM s UNION SELECT dst, d + 1 FROM r JOIN e ON src = n WHERE d < 160), f AS (SELECT n, min(d) AS d FROM r GROUP BY n)"
 
 
-def bfs_levels(spark, sf_dir):
-    return G.breadth_first(sparse(spark, sf_dir), first_node(spark, sf_dir)).select(F.col("id").alias("node_id"), F.col("level").cast("long").alias("level"))
+def bfs_levels(links=edges):
+    return lambda spark, sf_dir: G.breadth_first(links(spark, sf_dir), first_node(spark, sf_dir)).select(F.col("id").alias("node_id"), F.col("level").cast("long").alias("level"))
 
 
-def farthest(spark, sf_dir) -> int:
-    return G.breadth_first(sparse(spark, sf_dir), first_node(spark, sf_dir)).orderBy(F.desc("level"), F.desc("id")).select("id").first().id
+def farthest(spark, sf_dir, links=edges) -> int:
+    return G.breadth_first(links(spark, sf_dir), first_node(spark, sf_dir)).orderBy(F.desc("level"), F.desc("id")).select("id").first().id
 
 
-def graph_statement(text, ends=False):
+def graph_statement(text, ends=False, links=edges):
     def run(spark, sf_dir):
         a = first_node(spark, sf_dir)
-        return graph_language.execute(graphs(spark, sf_dir), text.format(a=a, b=farthest(spark, sf_dir) if ends else a))
+        return graph_language.execute(graphs(spark, sf_dir, links), text.format(a=a, b=farthest(spark, sf_dir, links) if ends else a))
 
     return run
 
 
-def shortest_steps(spark, sf_dir):
-    path = graph_statement("SHORTEST_PATH g FROM {a} TO {b}", True)(spark, sf_dir)
-    return path.groupBy(F.lit(1).cast("long").alias("one")).agg(F.max("step").alias("steps"), F.max_by("node_id", "step").alias("goal")).drop("one")
+def shortest_steps(links=edges):
+    def run(spark, sf_dir):
+        path = graph_statement("SHORTEST_PATH g FROM {a} TO {b}", True, links)(spark, sf_dir)
+        return path.groupBy(F.lit(1).cast("long").alias("one")).agg(F.max("step").alias("steps"), F.max_by("node_id", "step").alias("goal")).drop("one")
+
+    return run
 
 
 def node_erased(spark, sf_dir):
@@ -280,15 +283,20 @@ def _q():
         "graph_out": (lambda s, d: G.neighbors_out(edges(s, d), first_node(s, d)), f"SELECT dst AS node_id FROM {EDGES} WHERE src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "graph_in": (lambda s, d: G.neighbors_in(edges(s, d), first_node(s, d)), f"SELECT src AS node_id FROM {EDGES} WHERE dst = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "graph_edges_out": (lambda s, d: G.edges_out(edges(s, d), first_node(s, d)), f"SELECT id FROM {EDGES} WHERE src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
-        "graph_bfs_levels": (bfs_levels, f"{REACH} SELECT n AS node_id, d::BIGINT AS level FROM f"),
-        "graph_traverse_bfs": (graph_statement("TRAVERSE g FROM {a} BFS"), f"{REACH} SELECT n AS node_id FROM f"),
-        "graph_traverse_dfs": (graph_statement("TRAVERSE g FROM {a} DFS"), f"{REACH} SELECT n AS node_id FROM f"),
+        "graph_bfs_levels": (bfs_levels(sparse), f"{REACH} SELECT n AS node_id, d::BIGINT AS level FROM f"),
+        "graph_traverse_bfs": (graph_statement("TRAVERSE g FROM {a} BFS", links=sparse), f"{REACH} SELECT n AS node_id FROM f"),
+        "graph_traverse_dfs": (graph_statement("TRAVERSE g FROM {a} DFS", links=sparse), f"{REACH} SELECT n AS node_id FROM f"),
         "graph_traverse_limit": (graph_statement("TRAVERSE g FROM {a} BFS LIMIT 7"), None),
-        "graph_shortest_len": (shortest_steps, f"{REACH} SELECT d::BIGINT AS steps, n AS goal FROM f ORDER BY d DESC, n DESC LIMIT 1"),
+        "graph_shortest_len": (shortest_steps(sparse), f"{REACH} SELECT d::BIGINT AS steps, n AS goal FROM f ORDER BY d DESC, n DESC LIMIT 1"),
         "graph_connected": (graph_statement("CONNECTED g FROM {a} TO {b}", True), "SELECT true AS value"),
         "graph_unreachable": (graph_statement("SHORTEST_PATH g FROM {a} TO 999999"), "SELECT 1::BIGINT AS step, 1::BIGINT AS node_id WHERE false"),
         "graph_match_typed": (lambda s, d: G.match(edges(s, d), first_node(s, d), "Click"), f"SELECT dst AS node_id FROM {EDGES} WHERE type = 'click' AND src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
-        "graph_match_untyped": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b"), f"SELECT dst AS node_id FROM {EDGES} WHERE id < {SPARSE} AND src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
+        "graph_match_untyped": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b", links=sparse), f"SELECT dst AS node_id FROM {EDGES} WHERE id < {SPARSE} AND src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
+        "graph_bfs_levels_whole": (bfs_levels(), None),
+        "graph_traverse_bfs_whole": (graph_statement("TRAVERSE g FROM {a} BFS"), None),
+        "graph_traverse_dfs_whole": (graph_statement("TRAVERSE g FROM {a} DFS"), None),
+        "graph_shortest_len_whole": (shortest_steps(), None),
+        "graph_match_untyped_whole": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b"), None),
         "node_erase_cascade": (node_erased, f"SELECT id, src, dst FROM {EDGES} WHERE src <> (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1) AND dst <> (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "edge_endpoint_check": (edges_dangling, f"SELECT id FROM {EDGES} WHERE src % 3 = 0 OR dst % 3 = 0"),
         "kv_put_last_wins": (lambda s, d: KV.latest(pairs(s, d)).select("id", "value"), "SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS value FROM events GROUP BY 1"),
