@@ -360,7 +360,8 @@ def register(spark: SparkSession) -> None:
 
 
 def typed(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0) -> DataFrame:
-    """``pages`` with record_type and refers_to: of equal payloads the smallest id is the response.
+    """``pages`` with record_type and refers_to: of equal payloads the smallest id is the response;
+    a page with a null id is a response only where no page with an id has its payload.
 
     The join that names the first page of each payload handles ids and digests
     only, from stored tables, so that a payload with very many pages can be
@@ -370,18 +371,18 @@ def typed(pages: DataFrame, id_col: str, payload_col: str, least_bytes: int = 0)
     known = stored(pages.select(F.col(id_col).alias("_page"), "_sha1", F.octet_length(payload_col).alias("_bytes")).distinct(), "digests")
     firsts = stored(known.where(F.col("_bytes") >= least_bytes).groupBy("_sha1").agg(F.min("_page").alias("_first")), "firsts")
     named = known.select("_page", "_sha1").join(firsts, "_sha1", "left").withColumnRenamed("_sha1", "_digest")
-    out = pages.join(named, (F.col(id_col) == F.col("_page")) & (F.col("_sha1") == F.col("_digest")))
-    again = F.col("_first").isNotNull() & (F.col("_first") != F.col(id_col))
+    out = pages.join(named, F.col(id_col).eqNullSafe(F.col("_page")) & F.col("_sha1").eqNullSafe(F.col("_digest")))
+    again = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col(id_col))
     return out.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("_first")))
 
 
 def write_pages(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", html_col: str = "html", least_bytes: int = 0) -> None:
-    """A record for each row; its id is urn:page:<page id>."""
+    """A record for each row; its id is urn:page:<page id>, urn:page:null for a null id."""
     register(pages.sparkSession)
     own = pages.select(F.col(id_col).alias("_id"), F.col(uri_col).alias("target_uri"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = typed(own, "_id", "payload", least_bytes)
-    name = lambda c: F.concat(F.lit("urn:page:"), F.col(c).cast("string"))
-    rows = rows.select("record_type", name("_id").alias("record_id"), "target_uri", "payload", name("refers_to").alias("refers_to"))
+    name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
+    rows = rows.select("record_type", name(F.coalesce(F.col("_id").cast("string"), F.lit("null"))).alias("record_id"), "target_uri", "payload", name(F.col("refers_to")).alias("refers_to"))
     rows.write.format("warc").mode("append").save(path)
 
 
@@ -394,6 +395,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """What the archives of ``pages`` say, each response's payload held against its digest."""
     path = fresh_path(pages.sparkSession, "warc")
     write_pages(pages, path)
-    page = lambda c: F.substring_index(c, ":", -1).cast("long")
+    page = lambda c: F.substring_index(c, ":", -1).try_cast("long")
     found = read(pages.sparkSession, path, payload=False, verify=True)
     return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
