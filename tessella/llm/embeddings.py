@@ -2,7 +2,9 @@
 
 A vector is turned by three rounds of random signs and a fast Hadamard
 transform; the hash is the axis, with its sign, that it then lies nearest to.
-Two or more such hashes make a bucket of a table.  Besides its own ("home")
+Two or more such hashes make a bucket of a table; the number of tables grows with
+theirs and with the dimensions, so that pairs at the threshold are found with
+probability 0.9999 at every size.  Besides its own ("home")
 bucket a vector probes those in which one hash is replaced by its second
 choice.  Pairs that meet in a bucket, one of them at home, are verified by
 their cosine in double precision.
@@ -29,7 +31,9 @@ from tessella.llm.components import components
 from tessella.llm.simhash import grouped
 
 THRESHOLD = 0.93
+#: Tables at least; as many more as keep the share of pairs found at the threshold.
 TABLES = 10
+RECALL = 0.9999
 SEED = 90210
 #: Vectors of a bucket that are compared in one place; above it the bucket is cut.
 CHUNK = 512
@@ -43,6 +47,35 @@ def hashes_for(n: int, axes: int) -> int:
     return k
 
 
+def tables_for(k: int, width: int, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """Tables in one of which a pair at the threshold meets with probability ``recall``.
+
+    The chances that one hash is equal, and that it is another's second choice,
+    are counted over random pairs and taken two standard errors low.
+    """
+    import numpy as np
+
+    if threshold >= 1:
+        return 1
+    r, pairs, step = np.random.default_rng(SEED), 1 << 14, max(1, (1 << 21) // width)
+    equal = second = 0
+    for at in range(0, pairs, step):
+        x, y = r.standard_normal((2, min(step, pairs - at), width))
+        found = []
+        for z in (x, threshold * x + np.sqrt(1 - threshold**2) * y):
+            size, rows = np.abs(z), np.arange(len(z))
+            for _ in range(2):
+                best = size.argmax(axis=1)
+                size[rows, best] = -1
+                found.append(2 * best + (z[rows, best] < 0))
+        a, a2, b, b2 = found
+        equal += int((a == b).sum())
+        second += int(((a != b) & ((a == b2) | (a2 == b))).sum())
+    low = lambda n: max(1.0, n - 2 * np.sqrt(n * (1 - n / pairs))) / pairs
+    p = low(equal) ** k + k * low(equal) ** (k - 1) * low(second)
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-p)))
+
+
 def hadamard(x):
     """The transform of each row, in log2 of its length steps."""
     import numpy as np
@@ -145,7 +178,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = rows.withColumn("ok", F.coalesce(valid("v") & F.col("label").isNotNull(), F.lit(False)))
     classes = stored(rows.where("ok").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     total, longest = classes.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    k = hashes_for(total, 2 << max(1, ((longest or 1) - 1).bit_length()))
+    width = 1 << max(1, ((longest or 1) - 1).bit_length())
+    k = hashes_for(total, 2 * width)
+    tables = max(tables, tables_for(k, width, threshold)) if total else tables
 
     def sign(batches):
         import numpy as np
