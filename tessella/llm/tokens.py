@@ -33,7 +33,7 @@ PLAIN = re.compile("[\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017e]+"
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017e]+|[0-9]|[^\\sa-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u017e]+")
 #: Ends of words and of units, in what the fast encoder reads; ODD keeps them out of units.
 WORD_END, UNIT_END = "\x1f", "\x1e"
-CACHE_UNITS = 250_000
+CACHE_UNITS = 150_000
 CACHE_CHARS = 64
 
 
@@ -244,7 +244,10 @@ def unpacked(table: tuple[bytes, bytes]) -> dict[str, int]:
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(doc_id, n_bytes, n_tokens), a row for each input row, without a shuffle of texts or units.
+    """(doc_id, n_bytes, n_tokens), a row for each input row.
+
+    Texts and the units that are looked up are not shuffled; the units of the
+    bounded sample that the table is made from are, with their counts.
 
     Cases: a null or empty text has no bytes and no tokens; special strings
     count as the library counts them; repeated rows are counted each; an empty
