@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,15 +14,24 @@ from pyspark.sql.types import IntegralType
 WORD = r"[^\x20\x09-\x0D]+"
 #: The column of a stage's own row key.
 ROW = "_row"
+#: Bytes of text that a partition, and a group that is held whole, should have.
+PARTITION_BYTES, GROUP_BYTES = 256 << 20, 16 << 20
+#: Paths of the tables stored in this application that nothing has deleted yet.
+STORED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; where that is unset (tests, single
-    machines) a folder beside the warehouse takes its place.
+    It is ``spark.checkpoint.dir``; where that is unset on a single machine
+    (master ``local``), a folder beside the warehouse takes its place.  On a
+    cluster the setting is needed.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    if shared := spark.conf.get("spark.checkpoint.dir", None):
+        return shared
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -33,26 +43,55 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     that survives lost executors and computes its input only once."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    STORED.add(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    STORED.discard(path)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        delete_path(df.sparkSession, path)
+
+
+def sweep(spark: SparkSession, keep=frozenset()) -> None:
+    """Deletes the stored tables but those in ``keep``: for callers that have
+    written their results and read none of the lazy ones any more."""
+    for path in [*STORED - set(keep)]:
+        delete_path(spark, path)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that ``df`` has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def measured(docs: DataFrame, id_col: str, text_col: str) -> tuple[int, bool, int]:
+    """(rows, whether the ids are whole numbers, distinct and not null, bytes of text), in one pass."""
+    rows, ids, size = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
+    return rows, rows == ids and isinstance(docs.schema[id_col].dataType, IntegralType), size
+
+
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Shuffle partitions for ``size`` bytes: the session's number, or more where that leaves too much in one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with a key of each row, distinct and in the order of ids (nulls
-    last): the id itself where ids are whole numbers, distinct and not null."""
-    rows, ids = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
-    if rows == ids and isinstance(docs.schema[id_col].dataType, IntegralType):
-        return docs.withColumn(ROW, F.col(id_col).cast("long"))
+def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = ROW) -> DataFrame:
+    """``docs`` with a key ``name`` of each row, distinct and in the order of ids
+    (nulls last): the id itself where ids are whole numbers, distinct and not null."""
+    if measured(docs, id_col, text_col)[1]:
+        return docs.withColumn(name, F.col(id_col).cast("long"))
     order = [F.col(id_col).asc_nulls_last(), F.xxhash64(text_col).asc()]
-    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 def buckets_for(n: int) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WORD, buckets_for, key_range, running, shuffle_key, stored
+from tessella.llm.common import WORD, buckets_for, key_range, running, shuffle_key, stored, unused
 
 MAX_EPOCHS = 3
 SEED = 20240917
@@ -88,14 +88,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def materialize(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of the mix, with the columns of ``docs``: a document appears
     once for each time it is taken, the last time cut to the words taken.
-    ``id_col`` names distinct keys that are not null; ``mixed`` has them as
-    ``doc_id`` or, if ``mix`` was given them as ``row_col``, under their name."""
-    plan = mixed.where("taken > 0").select(F.col(id_col if id_col in mixed.columns else "doc_id").alias(id_col), "size", "taken")
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    out = docs.join(plan, id_col).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    words = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size")).cast("int")
+    ``id_col`` names distinct keys (a null one is a key too); ``mixed`` has them
+    as ``doc_id`` or, if ``mix`` was given them as ``row_col``, under their name."""
+    key, size, taken, copy = (unused(docs, c) for c in ("_key", "_size", "_taken", "_copy"))
+    plan = mixed.where("taken > 0").select(F.col(id_col if id_col in mixed.columns else "doc_id").alias(key), F.col("size").alias(size), F.col("taken").alias(taken))
+    copies = F.ceil(F.col(taken) / F.col(size)).cast("int")
+    out = docs.join(plan, docs[id_col].eqNullSafe(plan[key])).withColumn(copy, F.explode(F.sequence(F.lit(1), copies)))
+    words = F.least(F.col(size), F.col(taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.when(words < F.col("size"), F.array_join(F.slice(pieces, 1, words), "")).otherwise(F.col(text_col))
+    cut = F.when(words < F.col(size), F.array_join(F.slice(pieces, 1, words), "")).otherwise(F.col(text_col))
     return out.withColumn(text_col, cut).select(*docs.columns)
 
 
