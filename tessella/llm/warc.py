@@ -253,10 +253,12 @@ class WarcReader(DataSourceReader):
         self.path, self.payload, self.verify, self.tests = path, payload, verify, []
 
     def pushFilters(self, filters):
+        """Takes equality, IN and prefixes of one header column; hands all other filters back to Spark."""
         for f in filters:
-            column = f.attribute[0] if len(f.attribute) == 1 else None if hasattr(f, "attribute") else None
-            if column in HEADERS and isinstance(f, (EqualTo, In, StringStartsWith)) and all(isinstance(v, str) for v in (f.value if isinstance(f, In) else [f.value])):
-                self.tests.append((HEADERS[column], "start" if isinstance(f, StringStartsWith) else "in", tuple(f.value) if isinstance(f, In) else (f.value,)))
+            known = isinstance(f, (EqualTo, In, StringStartsWith)) and len(f.attribute) == 1 and f.attribute[0] in HEADERS
+            values = (tuple(f.value) if isinstance(f, In) else (f.value,)) if known else ()
+            if values and all(isinstance(v, str) for v in values):
+                self.tests.append((HEADERS[f.attribute[0]], "start" if isinstance(f, StringStartsWith) else "in", values))
             else:
                 yield f
 

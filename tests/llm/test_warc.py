@@ -87,3 +87,32 @@ def test_least_bytes(spark, tmp_path):
     path = "file://" + str(tmp_path / "w")
     warc.write_pages(pages, path, least_bytes=2)
     assert sorted((r.record_id[-1], r.record_type) for r in warc.read(spark, path).collect()) == [("1", "response"), ("2", "response"), ("3", "response"), ("4", "revisit")]
+
+
+def test_all_other_filters_go_back_to_spark(spark, pages, tmp_path):
+    path = "file://" + str(tmp_path / "w")
+    warc.write_pages(pages, path)
+    rows = {r.record_id: r.asDict() for r in warc.read(spark, path).collect()}
+    for test, want in {
+        "NOT record_type = 'response'": lambda r: r["record_type"] != "response",
+        "record_type <> 'revisit' AND payload_bytes > 10": lambda r: r["record_type"] != "revisit" and r["payload_bytes"] > 10,
+        "refers_to IS NULL": lambda r: r["refers_to"] is None,
+        "refers_to IS NOT NULL": lambda r: r["refers_to"] is not None,
+        "record_type = 'response' OR target_uri = 'http://a/9'": lambda r: r["record_type"] == "response" or r["target_uri"] == "http://a/9",
+        "NOT (record_type IN ('response', 'x'))": lambda r: r["record_type"] != "response",
+        "NOT refers_to <=> 'urn:page:3'": lambda r: r["refers_to"] != "urn:page:3",
+        "record_id >= 'urn:page:5' AND record_type LIKE 're%' AND payload_digest IN ('x', 'y')": lambda r: False,
+        "record_type LIKE '%visit' AND contains(target_uri, 'a')": lambda r: r["record_type"] == "revisit" and "a" in r["target_uri"],
+        "headers['warc-type'] = 'revisit'": lambda r: r["record_type"] == "revisit",
+    }.items():
+        got = warc.read(spark, path, payload=False).where(test)
+        assert {r.record_id for r in got.collect()} == {k for k, r in rows.items() if want(r)}, test
+
+
+def test_push_filters_takes_what_it_can():
+    from pyspark.sql.datasource import EqualNullSafe, EqualTo, GreaterThan, In, IsNull, Not, StringStartsWith
+
+    taken = [EqualTo(("record_type",), "response"), In(("record_id",), ("a", "b")), StringStartsWith(("target_uri",), "http")]
+    left = [Not(EqualTo(("record_type",), "x")), IsNull(("refers_to",)), GreaterThan(("payload_bytes",), 3), EqualNullSafe(("record_type",), "x"), EqualTo(("headers", "x"), "y"), EqualTo(("payload_bytes",), 3), In(("record_id",), ("a", None))]
+    reader = warc.WarcReader("x", False, False)
+    assert [*reader.pushFilters([*taken, *left])] == left and len(reader.tests) == 3
