@@ -13,25 +13,30 @@ entries would tell nothing.  So:
 1. Every window of 100 bytes has an anchor: the smallest hash of the 24-byte
    strings in it.  Equal windows have equal anchors.  A run of windows with one
    anchor is a piece (77 windows at most, 39 on average).
-2. Pieces are shuffled, packed, by anchor.  A piece whose whole content came
-   earlier is removed as it is (its windows have LPF >= 100); of an anchor with
-   one content, nothing more is asked.  What remains are anchors with several
-   contents: the borders of repeated passages.
-3. The bytes of those pieces meet by anchor, and the LPF array of each group
-   tells which of their windows came earlier.  An anchor with very many
-   contents (a frequent line in ever new surroundings) is split further: its
-   windows meet by the hash of their 100 bytes.
+2. Pieces are shuffled, packed and without their bytes, by anchor.  An anchor
+   that stands once tells nothing more.
+3. The bytes of all other pieces meet by anchor.  Of pieces with equal bytes
+   all but the first have LPF entries of 100 or more throughout, by definition,
+   and go as they are; the LPF array of the distinct ones tells which of their
+   windows came earlier.  An anchor with very many contents (a frequent line in
+   ever new surroundings) is split further: its windows meet by a hash of their
+   100 bytes.
 4. Each document's removed intervals meet its text.
 
-Each step's memory is bounded by a flush, a bucket or a group's cut, and no
-rows are capped.  Hashes of 64 bits only say what to compare, except that a
-piece counts as repeated when its anchor and its own hash both agree.
+Pieces that a task sees twice are compared there already, byte by byte, before
+step 2.  Hashes only say what to compare: nothing is removed but on equal bytes,
+and equal windows always meet.
 
-Cases: a null text has no bytes; texts under 100 bytes lose nothing; rows that
-repeat an id must repeat its text and are one document, each with its result;
-rows with a null id lose nothing and take nothing from others;
-an empty table gives an empty result; further columns are ignored.  Ids are
-whole numbers.
+Each step's memory is bounded by a flush, a bucket of a size derived from the
+input's bytes, or a group's cut: an anchor sends ``FLUSH_CONTENTS`` pieces a
+flush at most, then one piece a bucket for each content.  No rows are capped.
+
+Cases: a null text has no bytes; texts under 100 bytes lose nothing; a row that
+repeats an id and its text is the same document and has the same result, one
+that repeats an id with another text is a document of its own (they come in an
+order of their own under that id); rows with a null id lose nothing and take
+nothing from others; an empty table gives an empty result; further columns are
+ignored.  Ids are whole numbers.
 """
 
 from __future__ import annotations
@@ -39,15 +44,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ROW, keyed, stored
+from tessella.llm.common import GROUP_BYTES, keyed, measured, partitions_for, stored, unused
 from tessella.llm.simhash import grouped
 
 LENGTH = 100
 ANCHOR = 24
 FLUSH_BYTES = 16 << 20
 SEGMENT = 1 << 17
-#: An anchor with more contents than this (in a flush, or in all) is split by window.
-CONTENTS = 4096
+#: An anchor with more contents than this, in a flush or in all, or with more pieces in all, is split by window.
+FLUSH_CONTENTS, CONTENTS, PIECES = 128, 1024, 1 << 16
 MOST_WINDOWS = 255
 #: Bytes of candidate pieces in one suffix array, at least up to the end of a group.
 SUFFIX_BYTES = 1 << 20
@@ -103,13 +108,13 @@ def least_in_windows(h, width: int):
     return np.minimum(h[: len(h) - rest], h[rest:]) if rest else h
 
 
-def pieces_of(rolling: Rolling, data, length: int = LENGTH, anchor: int = ANCHOR):
+def pieces_of(rolling: Rolling, data, length: int = LENGTH):
     """(anchor hash, content hash, start, windows, inner) arrays of the pieces of one segment.
 
     ``inner``: the anchor's hash stands at two places of the piece at least;
     only then can two of the piece's own windows be equal.
     """
-    np = rolling.np
+    np, anchor = rolling.np, min(ANCHOR, max(1, length // 4))
     sums = rolling.sums(data)
     at = np.arange(len(data) - anchor + 1)
     _, down = rolling.tables(len(sums))
@@ -131,44 +136,71 @@ def pieces_of(rolling: Rolling, data, length: int = LENGTH, anchor: int = ANCHOR
     return value, content, starts, sizes, rightmost > leftmost
 
 
-#: A piece, as it is shuffled.
+#: A piece, as it is shuffled, and with its place in a flush.
 PIECE = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("inner", "u1")]
-#: Windows of a document that go (kind 0) or that are to be compared: all pieces of an anchor (1) or window by window (2).
+PLACED = [*PIECE, ("at", "<i8")]
+#: Windows of a document that go (kind 0) or that are to be compared: all pieces of an anchor (1; INNER: also a piece's own windows) or window by window (2).
 MARK = [("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("kind", "u1"), ("anchor", "<u8")]
+INNER = 3
+#: Added to a candidate's windows if they are to be compared with each other too.
+OWN_WINDOWS = 1024
 
 
-def fold(ids, parts: int, np=None):
-    """A document's bucket, alike in numpy and in SQL."""
-    mixed = ids ^ (ids >> 17) ^ (ids >> 34)
-    return (mixed & ((1 << 62) - 1)) % parts
-
+def bucket_of(keys, parts: int):
+    """``pmod(xxhash64(key), parts)`` of whole numbers, as Spark's functions have it."""
+    import numpy as np
 
-def fold_sql(column: str, parts: int) -> str:
-    return f"cast(({column} ^ shiftright({column}, 17) ^ shiftright({column}, 34)) & {(1 << 62) - 1}L as bigint) % {parts}L"
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    h = np.uint64(42) + p5 + np.uint64(8) ^ turned(np.asarray(keys, np.int64).view(np.uint64) * p2, 31) * p1
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ (h >> np.uint64(33))) * p2
+    h = (h ^ (h >> np.uint64(29))) * p3
+    return (h ^ (h >> np.uint64(32))).view(np.int64) % parts
 
 
-def marks(pieces, kind):
+def of_kind(pieces, kind):
+    """``pieces`` as records of another kind, by the fields that both have."""
     import numpy as np
 
-    out = np.empty(len(pieces), MARK)
-    for c in ("doc", "start", "windows", "anchor"):
-        out[c] = pieces[c]
+    out = np.zeros(len(pieces), kind)
+    for c in out.dtype.names:
+        if c in pieces.dtype.names:
+            out[c] = pieces[c]
+    return out
+
+
+def marks(pieces, kind):
+    out = of_kind(pieces, MARK)
     out["kind"] = kind
     return out
 
 
-def judged(pieces, split: set | None = None):
+def judged(pieces):
     """Pieces in order of anchor, content and place, with what is known of them:
-    first of its content, contents of its anchor."""
+    first of its content, contents of its anchor, pieces of its anchor."""
     import numpy as np
 
     pieces = pieces[np.lexsort((pieces["start"], pieces["doc"], pieces["content"], pieces["anchor"]))]
     new_anchor = np.concatenate([[True], pieces["anchor"][1:] != pieces["anchor"][:-1]])
     first = new_anchor | np.concatenate([[True], pieces["content"][1:] != pieces["content"][:-1]])
-    again = ~first & np.concatenate([[False], (pieces["doc"][1:] == pieces["doc"][:-1]) & (pieces["start"][1:] == pieces["start"][:-1])])
-    pieces, new_anchor, first = pieces[~again], new_anchor[~again], first[~again]
     group = np.cumsum(new_anchor) - 1
-    return pieces, first, np.bincount(group, weights=first).astype(np.int64)[group], group
+    return pieces, first, np.bincount(group, weights=first).astype(np.int64)[group], np.bincount(group)[group]
+
+
+def same_bytes(data, a, b, sizes, block: int = 1 << 21):
+    """Whether the strings of ``sizes`` bytes at places a and b of ``data`` are equal."""
+    import numpy as np
+
+    out, ends = np.empty(len(a), bool), np.cumsum(sizes)
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, block)), len(a)))
+    for x, y in zip([0, *cuts], cuts):
+        if x < y:
+            n = sizes[x:y]
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            differ = data[np.repeat(a[x:y], n) + within] != data[np.repeat(b[x:y], n) + within]
+            out[x:y] = np.add.reduceat(differ, np.cumsum(n) - n, dtype=np.int64) == 0
+    return out
 
 
 def bucket_rows(kind_of_row: int, array, bucket):
@@ -182,7 +214,7 @@ def bucket_rows(kind_of_row: int, array, bucket):
 
 
 def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) -> DataFrame:
-    """(bucket, blob): marks by document bucket, from steps 1 and 2."""
+    """(bucket, blob): marks by document bucket, from steps 1 and 2, for documents (key, text)."""
     import pyarrow as pa
 
     def batch_of(rows):
@@ -191,18 +223,23 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
     def cut(batches):
         import numpy as np
 
-        rolling, held, size = Rolling(), [], 0
+        rolling, held, texts, size = Rolling(), [], [], 0
 
         def flush():
             pieces, first, contents, _ = judged(np.concatenate(held))
-            known = [marks(pieces[~first], 0)]
-            hot = contents > CONTENTS
-            known.append(marks(pieces[first & hot], 2))
-            out = bucket_rows(1, known := np.concatenate(known), fold(known["doc"], doc_buckets))
+            data, again = np.concatenate(texts), np.flatnonzero(~first)
+            source = np.maximum.accumulate(np.where(first, np.arange(len(pieces)), 0))[again]
+            sizes = pieces["windows"][again].astype(np.int64)
+            same = sizes == pieces["windows"][source]
+            same[same] = same_bytes(data, pieces["at"][again[same]], pieces["at"][source[same]], sizes[same] + (length - 1))
+            first[again[~same]] = True  # equal by hash only
+            hot = contents > FLUSH_CONTENTS
+            known = np.concatenate([marks(pieces[~first], 0), marks(pieces[first & hot], 2)])
+            out = bucket_rows(1, known, bucket_of(known["doc"], doc_buckets))
             # of an anchor with very many contents one piece goes on, marked by 0 windows
             keep = first & ~hot
             one = np.flatnonzero(hot & np.concatenate([[True], pieces["anchor"][1:] != pieces["anchor"][:-1]]))
-            sent = np.concatenate([pieces[keep], pieces[one]])
+            sent = of_kind(np.concatenate([pieces[keep], pieces[one]]), PIECE)
             sent["windows"][keep.sum() :] = 0
             out += bucket_rows(0, sent, (sent["anchor"] >> np.uint64(8)) % np.uint64(buckets))
             yield batch_of(out)
@@ -210,21 +247,24 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8) if text else b""
+                if len(data) < length:
+                    continue
                 for at in range(0, len(data) - length + 1, SEGMENT):
                     a, c, s, n, inner = pieces_of(rolling, data[at : at + SEGMENT + length - 1], length)
-                    own = np.empty(len(a), PIECE)
-                    own["anchor"], own["content"], own["doc"], own["start"], own["windows"], own["inner"] = a, c, doc, s + at, n, inner
+                    own = np.empty(len(a), PLACED)
+                    own["anchor"], own["content"], own["doc"], own["start"], own["windows"], own["inner"], own["at"] = a, c, doc, s + at, n, inner, s + at + size
                     held.append(own)
+                texts.append(data)
                 size += len(data)
-                if held and size >= FLUSH_BYTES:
+                if size >= FLUSH_BYTES:
                     yield from flush()
-                    held, size = [], 0
+                    held, texts, size = [], [], 0
         if held:
             yield from flush()
 
-    cuts = docs.where("doc_id is not null").mapInArrow(cut, "kind byte, bucket long, blob binary")
+    cuts = docs.where("key is not null").select("key", "text").mapInArrow(cut, "kind byte, bucket long, blob binary")
     # marks already known pass through, dealt by their own buckets
-    dealt = cuts.select("bucket", "kind", "blob").repartition(F.col("bucket")).sortWithinPartitions("bucket", "kind")
+    dealt = cuts.select("bucket", "kind", "blob").repartition(max(1, buckets // 4), F.col("bucket")).sortWithinPartitions("bucket", "kind")
 
     def meet(batches):
         import numpy as np
@@ -241,18 +281,19 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
                     pieces = pieces[pieces["windows"] > 0]
                     if not len(pieces):
                         continue
-                    pieces, first, contents, _ = judged(pieces)
-                    hot = (contents > CONTENTS) | np.isin(pieces["anchor"], split)
-                    made = np.concatenate([marks(pieces[~first], 0), marks(pieces[first & hot], 2), marks(pieces[first & ~hot & ((contents > 1) | (pieces["inner"] > 0))], 1)])
-                if out := bucket_rows(0, made, fold(made["doc"], doc_buckets)):
+                    pieces, _, contents, number = judged(pieces)
+                    hot = (contents > CONTENTS) | (number > PIECES) | np.isin(pieces["anchor"], split)
+                    inner = pieces["inner"] > 0
+                    made = np.concatenate([marks(pieces[hot], 2), marks(pieces[~hot & ~inner & (number > 1)], 1), marks(pieces[~hot & inner], INNER)])
+                if out := bucket_rows(0, made, bucket_of(made["doc"], doc_buckets)):
                     yield pa.record_batch([pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["bucket", "blob"])
 
     return dealt.mapInArrow(meet, "bucket long, blob binary")
 
 
 def longest_previous_factors(data, starts, order, length: int = LENGTH):
-    """For each of ``starts`` in ``data``: the longest prefix, up to ``length``
-    and in steps of 4 bytes, that a start of smaller ``order`` shares.
+    """For each of ``starts`` in ``data``: the longest prefix, up to ``length``,
+    that a start of smaller ``order`` shares.
 
     Suffixes are sorted by ranks of prefixes of doubling length.  The previous
     and next smaller positions in suffix order come by pointer jumping, along
@@ -261,11 +302,13 @@ def longest_previous_factors(data, starts, order, length: int = LENGTH):
     import numpy as np
 
     n = len(data)
-    padded = np.concatenate([data, np.zeros(2 * length, np.uint8)]).astype(np.uint64)
-    word = padded[: n + length]
+    padded = np.concatenate([data, np.zeros(2 * length + 4, np.uint8)]).astype(np.uint64)
+    word, ranks, size = padded[: n + length], {}, 4
     for k in range(1, 4):
+        ranks[k] = word
         word = (word << np.uint64(8)) | padded[k : k + n + length]
-    ranks, size = {4: word}, 4
+    del ranks[3]
+    ranks[4] = word
     while 2 * size <= length:
         r = ranks[size]
         step = np.concatenate([r[size:], np.zeros(size, np.uint64)])
@@ -273,7 +316,7 @@ def longest_previous_factors(data, starts, order, length: int = LENGTH):
         size *= 2
     key, offset = [], 0
     for w in sorted(ranks, reverse=True):
-        if length - offset >= w:
+        while length - offset >= w:
             key.append(ranks[w][starts + offset])
             offset += w
     by = np.lexsort((order, *key[::-1]))
@@ -307,8 +350,9 @@ def runs(hit):
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def candidates(rows: DataFrame, doc_buckets: int, length: int) -> DataFrame:
-    """(key, doc, start, windows, content): the bytes of marked pieces, by anchor or by window; windows 0: nothing to compare, content holds marks."""
+def candidates(rows: DataFrame, length: int) -> DataFrame:
+    """(key, doc, start, windows, content): the bytes of marked pieces, by anchor
+    or by window.  Fewer than 0 windows: so many that came earlier in the bucket."""
     import pyarrow as pa
 
     names = ["key", "doc", "start", "windows", "content"]
@@ -319,66 +363,84 @@ def candidates(rows: DataFrame, doc_buckets: int, length: int) -> DataFrame:
 
         found = np.concatenate([np.frombuffer(b, MARK) for b in table.column("blob").to_pylist() if b is not None] or [np.empty(0, MARK)])
         found = found[found["kind"] > 0]
-        found = found[np.argsort(found["doc"], kind="stable")]
-        ids, texts = table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-        rows, seen = [], {}
-        for doc, text in sorted({i: t for i, t in zip(ids, texts) if i is not None and t is not None}.items()):
+        found = found[np.lexsort((found["start"], found["doc"]))]
+        keys, texts = table.column("key").to_pylist(), table.column("text").to_pylist()
+        rows, pieces, windows = [], set(), set()
+        for doc, text in sorted({i: t for i, t in zip(keys, texts) if i is not None and t is not None}.items()):
             own = found[slice(*np.searchsorted(found["doc"], [doc, doc + 1]))]
-            if not len(own):
-                continue
-            data = text.encode()
-            for s, n, kind, anchor in sorted(zip(own["start"].tolist(), own["windows"].tolist(), own["kind"].tolist(), own["anchor"].astype(np.int64).tolist())):
-                if kind == 1:
-                    rows.append((anchor, doc, s, n, data[s : s + n + length - 1]))
+            data = text.encode() if len(own) else b""
+            for s, n, kind, anchor in zip(own["start"].tolist(), own["windows"].tolist(), own["kind"].tolist(), own["anchor"].astype(np.int64).tolist()):
+                if kind != 2:
+                    part = data[s : s + n + length - 1]
+                    if (anchor, part) in pieces:
+                        rows.append((anchor, doc, s, -n, None))
+                    else:
+                        pieces.add((anchor, part))
+                        rows.append((anchor, doc, s, n + OWN_WINDOWS * (kind == INNER), part))
                     continue
                 for at in range(s, s + n):
                     part = data[at : at + length]
-                    key = xxhash.xxh3_128_digest(part)
-                    if key in seen:
-                        rows.append((at, doc, at, 0, None))
+                    if part in windows:
+                        rows.append((at, doc, at, -1, None))
                     else:
-                        seen[key] = None
-                        rows.append((int.from_bytes(key[:8], "big", signed=True), doc, at, 1, part))
+                        windows.add(part)
+                        rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), doc, at, 1, part))
         columns = [*zip(*rows)] or [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
     return rows.groupBy("bucket").applyInArrow(run, "key long, doc long, start long, windows int, content binary")
 
 
-def compared(pieces: DataFrame, doc_buckets: int, length: int) -> DataFrame:
+def distinct_first(key, contents):
+    """Whether each content, in order, is the first of its key with these bytes."""
+    out, seen, at = [], set(), None
+    for k, content in zip(key, contents):
+        if k != at:
+            seen, at = set(), k
+        out.append(content not in seen)
+        seen.add(content)
+    return out
+
+
+def compared(pieces: DataFrame, parts: int, doc_buckets: int, length: int) -> DataFrame:
     """(bucket, blob): marks of the windows that came earlier, from the LPF arrays of step 3."""
     import pyarrow as pa
 
-    def lpf(parts):
+    def lpf(tables):
         import numpy as np
 
-        table = pa.concat_tables(parts)
-        doc, start, size = (table.column(c).to_numpy() for c in ("doc", "start", "windows"))
-        known = size == 0
-        made = [np.stack([doc[known], start[known], np.ones(known.sum(), np.int64)], axis=1)]
-        key = table.column("key").to_numpy()
-        new = np.concatenate([[True], key[1:] != key[:-1], [True]])
-        use = ~known & ~((size == 1) & new[:-1] & new[1:])  # a window that nothing else shares came first
-        table = table.filter(pa.array(use))
-        doc, start, size = doc[use], start[use], size[use].astype(np.int64)
+        table = pa.concat_tables(tables)
+        key, doc, start, size = (table.column(c).to_numpy() for c in ("key", "doc", "start", "windows"))
+        known = size < 0
+        made = [np.stack([doc[known], start[known], -size[known].astype(np.int64)], axis=1)]
+        order = np.lexsort((start, doc, key))
+        order = order[~known[order]]
+        contents = table.column("content").take(pa.array(order)).to_pylist()
+        key, doc, start, inner, size = key[order], doc[order], start[order], size[order] >= OWN_WINDOWS, size[order].astype(np.int64) % OWN_WINDOWS
+        new = np.array(distinct_first(key.tolist(), contents), bool)
+        made.append(np.stack([doc[~new], start[~new], size[~new]], axis=1))
+        key, doc, start, inner, size = key[new], doc[new], start[new], inner[new], size[new]
+        edge = np.concatenate([[True], key[1:] != key[:-1], [True]])
+        use = inner | ~(edge[:-1] & edge[1:])  # what nothing else shares came first
+        doc, start, size = doc[use], start[use], size[use]
         if len(doc):
-            data = np.frombuffer(b"".join(table.column("content").to_pylist()), np.uint8)
+            data = np.frombuffer(b"".join([contents[k] for k in np.flatnonzero(new)[use]]), np.uint8)
             begin = np.cumsum(size + length - 1) - (size + length - 1)
             rank = np.empty(len(doc), np.int64)
             rank[np.lexsort((start, doc))] = np.arange(len(doc))
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            hit = longest_previous_factors(data, np.repeat(begin, size) + inner, np.repeat(rank, size) * 512 + inner, length) >= length
+            inside = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            hit = longest_previous_factors(data, np.repeat(begin, size) + inside, np.repeat(rank, size) * 512 + inside, length) >= length
             piece = np.repeat(np.arange(len(doc)), size)
             a, b = runs(hit)
-            cut = np.flatnonzero(np.diff(piece)) + 1  # runs end with their pieces
-            edges = np.unique(np.concatenate([a, b, cut[hit[cut]]])) if len(a) else a
+            ends = np.flatnonzero(np.diff(piece)) + 1  # runs end with their pieces
+            edges = np.unique(np.concatenate([a, b, ends[hit[ends]]])) if len(a) else a
             if len(edges):
                 x, y = edges[:-1][hit[edges[:-1]]], edges[1:][hit[edges[:-1]]]
-                made.append(np.stack([doc[piece[x]], start[piece[x]] + inner[x], y - x], axis=1))
+                made.append(np.stack([doc[piece[x]], start[piece[x]] + inside[x], y - x], axis=1))
         made = np.concatenate(made)
         out = np.zeros(len(made), MARK)
         out["doc"], out["start"], out["windows"] = made.T
-        rows = bucket_rows(0, out, fold(out["doc"], doc_buckets))
+        rows = bucket_rows(0, out, bucket_of(out["doc"], doc_buckets))
         return pa.record_batch([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "blob"])
 
     def run(batches):
@@ -392,7 +454,18 @@ def compared(pieces: DataFrame, doc_buckets: int, length: int) -> DataFrame:
         if held:
             yield lpf(held)
 
-    return pieces.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "bucket long, blob binary")
+    return pieces.repartition(parts, F.col("key")).sortWithinPartitions("key").mapInArrow(run, "bucket long, blob binary")
+
+
+def as_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(all rows, one row for each document) of rows (doc_id, text) of which some
+    repeat an id, with a ``key`` in the order of ids, and under an id of its texts."""
+    rows = docs.withColumn("_text", F.md5(F.coalesce("text", F.lit(""))))
+    known = rows.where("doc_id is not null").select("doc_id", "_text").distinct()
+    order = ["doc_id", "_text"]
+    known = stored(known.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "keys")
+    rows = stored(rows.join(known, order, "left").select("key", "doc_id", "text"), "rows")
+    return rows, rows.where("key is not null").dropDuplicates(["key"])
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, whole_characters: bool = False) -> DataFrame:
@@ -401,15 +474,17 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     character goes only with all of its bytes."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    doc_buckets = 4 * parts
-    marked = stored(found_marks(docs, 4 * parts, doc_buckets, length), "marks")
-    rows = docs.select(F.coalesce(F.expr(fold_sql("doc_id", doc_buckets)), F.pmod(F.xxhash64("text"), F.lit(doc_buckets))).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("blob"))
-    rows = rows.unionByName(marked.select("bucket", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob"))
+    _, distinct, size = measured(docs, "doc_id", "text")
+    parts = partitions_for(docs.sparkSession, size)
+    doc_buckets = max(4 * parts, -(-size // GROUP_BYTES))
+    docs, once = (docs.withColumn("key", F.col("doc_id")),) * 2 if distinct else as_documents(docs)
+    marked = stored(found_marks(once, 4 * parts, doc_buckets, length), "marks")
+    bucket = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(doc_buckets))).otherwise(F.pmod(F.xxhash64("text"), F.lit(doc_buckets)))
+    rows = docs.select(bucket.alias("bucket"), "key", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("binary").alias("blob"))
+    rows = rows.unionByName(marked.select("bucket", F.lit(None).cast("long").alias("key"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), "blob"))
     rows = rows.repartition(parts, "bucket")
-    late = compared(candidates(rows, doc_buckets, length), doc_buckets, length).repartition(parts, "bucket")
+    late = compared(candidates(rows, length), parts, doc_buckets, length).repartition(parts, "bucket")
 
     def cut(table, more):
         import numpy as np
@@ -419,11 +494,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         found = found[found["kind"] == 0]
         found = found[np.argsort(found["doc"], kind="stable")]
         out = []
-        for doc, text in zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist()):
+        for key, doc, text in zip(*(table.column(c).to_pylist() for c in ("key", "doc_id", "text"))):
             if text is None:
                 continue
             data = text.encode()
-            own = found[slice(*np.searchsorted(found["doc"], [doc, doc + 1]))] if doc is not None else found[:0]
+            own = found[slice(*np.searchsorted(found["doc"], [key, key + 1]))] if key is not None else found[:0]
             if not len(own):
                 out.append((doc, len(data), [], data))
                 continue
@@ -449,13 +524,18 @@ def digests(found: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with repeated passages cut from the texts, by whole characters;
-    rows come in the order of ids (nulls last), and ids may repeat."""
-    rows = keyed(docs, id_col, text_col)
-    kept = repeated(rows, ROW, text_col, whole_characters=True).select(F.col("doc_id").alias("_id"), F.col("kept").cast("string").alias("_kept"))
-    rest = rows.withColumn("_null", F.col(text_col).isNull()).drop(text_col)
-    out = rest.join(kept, F.col(ROW) == F.col("_id"))
-    out = out.withColumn(text_col, F.when(~F.col("_null"), F.col("_kept")))
+    """``docs`` with repeated passages cut from the texts, by whole characters.
+
+    Rows come in the order of ids (nulls last, and those take part); each row
+    is a document, so that one that repeats an earlier row's text is emptied.
+    Other columns keep their values, whatever their names.
+    """
+    row, other, kept, null = (unused(docs, c) for c in ("_row", "_id", "_kept", "_null"))
+    rows = keyed(docs, id_col, text_col, row)
+    found = repeated(rows, row, text_col, whole_characters=True).select(F.col("doc_id").alias(other), F.col("kept").cast("string").alias(kept))
+    rest = rows.withColumn(null, F.col(text_col).isNull()).drop(text_col)
+    out = rest.join(found, F.col(row) == F.col(other))
+    out = out.withColumn(text_col, F.when(~F.col(null), F.col(kept)))
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return out.select(*docs.columns)

@@ -67,6 +67,7 @@ def test_against_brute_force(make_docs, monkeypatch, small):
     if small:  # many flushes, splits by window and cuts of the suffix arrays
         monkeypatch.setattr(suffix, "FLUSH_BYTES", 3000)
         monkeypatch.setattr(suffix, "CONTENTS", 3)
+        monkeypatch.setattr(suffix, "FLUSH_CONTENTS", 2)
         monkeypatch.setattr(suffix, "SUFFIX_BYTES", 3000)
         monkeypatch.setattr(suffix, "SEGMENT", 512)
     rows = corpus()
@@ -98,9 +99,50 @@ def model_lpf(data, starts, length):
 @given(st.text("ab", min_size=20, max_size=120), st.integers(0, 3))
 def test_longest_previous_factors(text, seed):
     data = np.frombuffer((text + text[: seed * 7]).encode(), np.uint8)
-    starts = np.arange(len(data) - 12)
-    got = suffix.longest_previous_factors(data, starts, starts, 12)
-    assert [x // 4 * 4 for x in model_lpf(data, starts.tolist(), 12)] == got.tolist()
+    for length in (12, 7, 15):
+        starts = np.arange(len(data) - length)
+        assert model_lpf(data, starts.tolist(), length) == suffix.longest_previous_factors(data, starts, starts, length).tolist()
+
+
+@pytest.mark.parametrize("length", [10, 50, 99])
+def test_all_lengths(make_docs, length):
+    rows = {i: t for i, t in corpus().items() if i < 120 or i >= 280}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.digests(suffix.repeated(make_docs([(i, t, "s") for i, t in rows.items()]), length=length)).collect()}
+    assert got == model(rows, length)
+
+
+def test_repeated_ids_with_other_texts(make_docs):
+    """Each text of an id is a document of its own; the same text again is the same document."""
+    passage = words(random.Random(3), 40)
+    rows = [(1, passage, "s"), (1, passage + "x", "s"), (1, passage, "s"), (2, "y" + passage, "s"), (None, passage, "s")]
+    got = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix.digests(suffix.repeated(make_docs(rows))).collect()]
+    n = len(passage.encode())
+    under_1 = sorted(g for g in got if g[0] == 1)
+    assert under_1 in ([(1, n, 0), (1, n, 0), (1, n + 1, n)], [(1, n, n), (1, n, n), (1, n + 1, 0)])
+    assert [g for g in got if g[0] != 1 and g[0]] == [(2, n + 1, n)] and (None, n, 0) in got
+
+
+def test_equal_hashes_do_not_remove(make_docs, monkeypatch):
+    """Bytes decide: with all content hashes equal the result is the same."""
+    whole = suffix.pieces_of
+    monkeypatch.setattr(suffix, "pieces_of", lambda *a, **k: (lambda v, c, *rest: (v, c * 0, *rest))(*whole(*a, **k)))
+    rows = {i: t for i, t in corpus().items() if i < 110}
+    assert result(make_docs([(i, t, "s") for i, t in rows.items()])) == model(rows)
+
+
+def test_clashing_columns(make_docs):
+    body = words(random.Random(1), 40)
+    docs = make_docs([(1, body, "s"), (2, body, "s")])
+    for c in ("_id", "_kept", "_null", "_row", "key", "bucket"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = suffix.without_repeats(docs).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [body, ""] and all(r[c] == c for r in got for c in ("_id", "_kept", "_null", "_row", "key", "bucket"))
+
+
+def test_buckets_are_those_of_the_plan(spark):
+    ids = [0, 1, -1, 7, 10**12, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "i long").select("i", F.pmod(F.xxhash64("i"), F.lit(37)).alias("b"))
+    assert {r.i: r.b for r in df.collect()} == dict(zip(ids, suffix.bucket_of(np.array(ids), 37).tolist()))
 
 
 @settings(max_examples=60, deadline=None)
