@@ -10,7 +10,8 @@ for each pair, and equal fingerprints are one vertex from the start.
 
 Cases: a null or empty text, or one of white space only, has fingerprint zero,
 linked like any other; fewer words than a shingle holds make one shingle;
-repeated rows and ids each return a row; an empty table gives an empty result;
+repeated rows and ids each return a row; a component's id is its smallest id
+that is not null, null if it has none; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -22,12 +23,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import ROW, keyed, stored
+from tessella.llm.common import keyed, stored, unused
 from tessella.llm.components import components
 
 WORDS = 4
 SEED = 42
 DISTANCE = 4
+#: Distinct fingerprints of a block that are searched in one place; the rows of a larger one are dealt to narrower blocks.
+CHUNK = 1 << 16
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> bytes:
@@ -121,20 +124,101 @@ def grouped(batches, n_keys: int):
         yield pa.Table.from_batches(held)
 
 
-def links(distinct: DataFrame, fp_col: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between distinct fingerprints that join all that are joined."""
+def bounded_groups(batches, n_keys: int, most: int):
+    """(table, hot): whole groups of rows sorted by their first ``n_keys`` columns;
+    a group of more than ``most`` rows (that spans batches) comes in parts, with hot set."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, size, hot, last = [], 0, False, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(n_keys)]
+        if last is not None and last != [k[0] for k in keys]:
+            if held:
+                yield pa.Table.from_batches(held), hot or size > most
+            held, size, hot = [], 0, False
+        edges = (np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist()
+        if edges:
+            held.append(batch.slice(0, edges[0]))
+            yield pa.Table.from_batches(held), hot or size + edges[0] > most
+            if len(edges) > 1:
+                yield pa.Table.from_batches([batch.slice(edges[0], edges[-1] - edges[0])]), False
+            held, size, hot = [], 0, False
+        rest = batch.slice(edges[-1] if edges else 0)
+        held.append(rest)
+        size, last = size + rest.num_rows, [k[-1] for k in keys]
+        if size > most:
+            yield pa.Table.from_batches(held), True
+            held, hot = [], True
+    if held:
+        yield pa.Table.from_batches(held), hot or size > most
+
+
+def choices(bits: list[int], distance: int):
+    """The bits as distance + 2 blocks, and the masks of every two of them."""
+    n = distance + 2
+    blocks = [sum(1 << b for b in bits[len(bits) * k // n : len(bits) * (k + 1) // n]) for k in range(n)]
+    return [x | y for x, y in itertools.combinations(blocks, 2)]
+
+
+def narrowed(hot: DataFrame, distance: int) -> DataFrame:
+    """(t, key, fp): the rows of blocks with very many fingerprints in narrower
+    ones.  The bits in which a block's fingerprints differ are cut anew, into
+    distance + 2 blocks, two of which close pairs share."""
     import pyarrow as pa
 
+    differ = hot.groupBy("t", "key").agg(F.bit_or("a").alias("o"), F.bit_and("a").alias("n"))
+    differ = stored(differ.select("t", "key", F.col("o").bitwiseXOR(F.col("n")).alias("bits"), F.monotonically_increasing_id().alias("block")), "blocks")
+    n = len(choices([], distance))
+
+    def run(batches):
+        import numpy as np
+
+        for batch in batches:
+            block, bits, fp = (batch.column(c).to_numpy() for c in range(3))
+            for which in np.unique(bits):
+                own = np.flatnonzero(bits == which)
+                masks = np.array(choices([b for b in range(64) if int(which) >> b & 1], distance), np.uint64).view(np.int64)
+                t = block[own][:, None] * n + np.arange(n)
+                yield pa.record_batch([pa.array(x.ravel()) for x in (t, fp[own][:, None] & masks, np.repeat(fp[own], n))], ["t", "key", "fp"])
+
+    return hot.join(differ, ["t", "key"]).select("block", "bits", F.col("a").alias("fp")).mapInArrow(run, "t long, key long, fp long")
+
+
+def links(distinct: DataFrame, fp_col: str = "fp", distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links between distinct fingerprints that join all that are joined."""
     masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distinct.count(), distance)]
-    keys = F.array(*[F.struct(F.lit(t).cast("int").alias("t"), F.col(fp_col).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
+    keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(fp_col).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
     rows = distinct.select(F.explode(keys).alias("k"), F.col(fp_col).alias("fp")).select("k.t", "k.key", "fp")
+    out = None
+    while True:
+        found = stored(searched(rows, distance), "links")
+        own = found.where("b is not null").select("a", "b")
+        out = own if out is None else out.unionByName(own)
+        hot = found.where("b is null")
+        if not hot.head(1):
+            return out
+        rows = narrowed(hot, distance)
+
+
+def searched(rows: DataFrame, distance: int) -> DataFrame:
+    """(a, b, t, key): links of rows (t, key, fp) that share t and key; without b
+    the rows of those with more than ``CHUNK`` fingerprints."""
+    import pyarrow as pa
+
+    least = 1 << (distance + 2)  # so many fingerprints differ in enough bits to be cut anew
     rows = rows.repartition(F.col("t"), F.col("key")).sortWithinPartitions("t", "key", "fp")
 
     def run(batches):
         import numpy as np
 
-        for part in grouped(batches, 2):
+        for part, hot in bounded_groups(batches, 2, max(CHUNK, least)):
             t, key, fp = (part.column(k).to_numpy() for k in range(3))
+            if hot:
+                yield pa.record_batch([pa.array(fp), pa.nulls(len(fp), pa.int64()), pa.array(t), pa.array(key)], ["a", "b", "t", "key"])
+                continue
             fp = fp.view(np.uint64)
             edge = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             starts, stops = np.concatenate([[0], edge]), np.concatenate([edge, [len(t)]])
@@ -151,9 +235,10 @@ def links(distinct: DataFrame, fp_col: str = "fp", distance: int = DISTANCE) ->
             a, b = np.concatenate(a), np.concatenate(b)
             if len(a):
                 pairs = np.unique(np.stack([a, b], axis=1), axis=0)
-                yield pa.record_batch([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64))], ["a", "b"])
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.record_batch([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].view(np.int64)), none, none], ["a", "b", "t", "key"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, t long, key long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
@@ -173,6 +258,7 @@ def hexadecimal(fp) -> F.Column:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of the rows of ``docs`` of a component the one with the smallest id (nulls last)."""
-    rows = keyed(docs, id_col, text_col)
-    kept = near_duplicates(rows, ROW, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(ROW))
-    return rows.join(kept, ROW, "left_semi").select(*docs.columns)
+    row = unused(docs, "_row")
+    rows = keyed(docs, id_col, text_col, row)
+    kept = near_duplicates(rows, row, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(row))
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
