@@ -136,11 +136,11 @@ def pieces_of(rolling: Rolling, data, length: int = LENGTH):
     return value, content, starts, sizes, rightmost > leftmost
 
 
-#: A piece, as it is shuffled, and with its place in a flush.
-PIECE = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("inner", "u1")]
-PLACED = [*PIECE, ("at", "<i8")]
+#: A piece with its place in a flush, and as it is shuffled (there, the hash of its content only helps to count contents).
+PLACED = [("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("windows", "u1"), ("inner", "u1"), ("at", "<i8")]
+PIECE = [("anchor", "<u8"), ("content", "<u2"), ("doc", "<i8"), ("start", "<u4"), ("windows", "u1"), ("inner", "u1")]
 #: Windows of a document that go (kind 0) or that are to be compared: all pieces of an anchor (1; INNER: also a piece's own windows) or window by window (2).
-MARK = [("doc", "<i8"), ("start", "<i8"), ("windows", "u1"), ("kind", "u1"), ("anchor", "<u8")]
+MARK = [("doc", "<i8"), ("start", "<u4"), ("windows", "u1"), ("kind", "u1"), ("anchor", "<u8")]
 INNER = 3
 #: Added to a candidate's windows if they are to be compared with each other too.
 OWN_WINDOWS = 1024
@@ -203,14 +203,27 @@ def same_bytes(data, a, b, sizes, block: int = 1 << 21):
     return out
 
 
+def packed(array) -> bytes:
+    """Records byte by byte, all first bytes before all second ones: what differs little then takes little."""
+    return array.view("u1").reshape(len(array), array.itemsize).T.tobytes()
+
+
+def unpacked(blobs, kind):
+    import numpy as np
+
+    size = np.dtype(kind).itemsize
+    parts = [np.frombuffer(b, "u1").reshape(size, -1).T for b in blobs]
+    return np.ascontiguousarray(np.concatenate(parts)).view(kind)[:, 0] if parts else np.empty(0, kind)
+
+
 def bucket_rows(kind_of_row: int, array, bucket):
     """(kind, bucket, blob) rows of a structured array dealt by ``bucket``."""
     import numpy as np
 
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((array["start"], array["doc"], bucket)) if array.dtype == np.dtype(MARK) else np.argsort(bucket, kind="stable")
     array, bucket = array[order], bucket[order]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, int)
-    return [(kind_of_row, int(bucket[a]), array[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [(kind_of_row, int(bucket[a]), packed(array[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) -> DataFrame:
@@ -274,9 +287,9 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
             edges = np.flatnonzero((np.diff(part.column(0).to_numpy()) != 0) | (np.diff(kinds) != 0)) + 1
             for a, b in zip([0, *edges], [*edges, len(blobs)]):
                 if kinds[a]:
-                    made = np.frombuffer(b"".join(blobs[a:b]), MARK)
+                    made = unpacked(blobs[a:b], MARK)
                 else:
-                    pieces = np.frombuffer(b"".join(blobs[a:b]), PIECE)
+                    pieces = unpacked(blobs[a:b], PIECE)
                     split = np.unique(pieces["anchor"][pieces["windows"] == 0])
                     pieces = pieces[pieces["windows"] > 0]
                     if not len(pieces):
@@ -361,7 +374,7 @@ def candidates(rows: DataFrame, length: int) -> DataFrame:
         import numpy as np
         import xxhash
 
-        found = np.concatenate([np.frombuffer(b, MARK) for b in table.column("blob").to_pylist() if b is not None] or [np.empty(0, MARK)])
+        found = unpacked([b for b in table.column("blob").to_pylist() if b is not None], MARK)
         found = found[found["kind"] > 0]
         found = found[np.lexsort((found["start"], found["doc"]))]
         keys, texts = table.column("key").to_pylist(), table.column("text").to_pylist()
@@ -378,13 +391,17 @@ def candidates(rows: DataFrame, length: int) -> DataFrame:
                         pieces.add((anchor, part))
                         rows.append((anchor, doc, s, n + OWN_WINDOWS * (kind == INNER), part))
                     continue
+                since = s  # where the windows met before begin
                 for at in range(s, s + n):
                     part = data[at : at + length]
-                    if part in windows:
-                        rows.append((at, doc, at, -1, None))
-                    else:
+                    if part not in windows:
                         windows.add(part)
                         rows.append((xxhash.xxh3_64_intdigest(part) - (1 << 63), doc, at, 1, part))
+                        if since < at:
+                            rows.append((at, doc, since, since - at, None))
+                        since = at + 1
+                if since < s + n:
+                    rows.append((s, doc, since, since - s - n, None))
         columns = [*zip(*rows)] or [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
 
@@ -490,7 +507,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         import numpy as np
 
         blobs = [b for b in table.column("blob").to_pylist() if b is not None] + more.column("blob").to_pylist()
-        found = np.concatenate([np.frombuffer(b, MARK) for b in blobs] or [np.empty(0, MARK)])
+        found = unpacked(blobs, MARK)
         found = found[found["kind"] == 0]
         found = found[np.argsort(found["doc"], kind="stable")]
         out = []
@@ -503,8 +520,9 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 out.append((doc, len(data), [], data))
                 continue
             change = np.zeros(len(data) + 1, np.int64)
-            np.add.at(change, own["start"], 1)
-            np.add.at(change, own["start"] + own["windows"] + (length - 1), -1)
+            start = own["start"].astype(np.int64)
+            np.add.at(change, start, 1)
+            np.add.at(change, start + own["windows"] + (length - 1), -1)
             gone = np.cumsum(change[:-1]) > 0
             if whole_characters:
                 first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
