@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_row"
 #: Bytes of text that a partition, and a group that is held whole, should have.
 PARTITION_BYTES, GROUP_BYTES = 256 << 20, 16 << 20
+#: Rows of a batch that a Python task turns into strings at once.
+SLICE_ROWS = 512
 #: Paths of the tables stored in this application that nothing has deleted yet.
 STORED: set[str] = set()
 
@@ -94,6 +96,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, name: str = ROW) -> DataF
     return stored(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
+def slices(batches):
+    """Record batches of ``SLICE_ROWS`` rows at most, so that a task holds few texts as strings at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def buckets_for(n: int) -> int:
     """About sqrt(n): as many hash ranges as rows in each, so that neither the
     table of ranges nor a range grows beyond the root of the input."""

@@ -28,14 +28,13 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import slices
 from tessella.llm.tokens import WordIds, default_path
 
 WINDOW = 4096
 END_ID = 2
 #: Tokens in open windows at which a task packs them again with coarser levels.
 OPEN_TOKENS = 2 << 20
-#: Rows whose texts a task holds as strings at once.
-SLICE_ROWS = 256
 
 
 class SumOfSquares:
@@ -181,33 +180,31 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 if size_of(piece):
                     own.append(piece)
 
-        for batch in batches:
+        for batch in slices(batches):
             id_type = batch.column(0).type
-            for first in range(0, batch.num_rows, SLICE_ROWS):
-                some = batch.slice(first, SLICE_ROWS)
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                    ids = (ids_of(text) if text else b"") + end
-                    total = len(ids) // 4
-                    whole = total // window * window
-                    for at in range(0, whole, window):
-                        close([(doc, at, total, ids[4 * at : 4 * (at + window)])])
-                    if whole < total:
-                        waiting += total - whole
-                        if full := packer.put((doc, whole, total, ids[4 * whole :]), total - whole):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = (ids_of(text) if text else b"") + end
+                total = len(ids) // 4
+                whole = total // window * window
+                for at in range(0, whole, window):
+                    close([(doc, at, total, ids[4 * at : 4 * (at + window)])])
+                if whole < total:
+                    waiting += total - whole
+                    if full := packer.put((doc, whole, total, ids[4 * whole :]), total - whole):
+                        waiting -= window
+                        close(full)
+                if waiting > OPEN_TOKENS:
+                    windows, left = settled(packer.rest(), window, OPEN_TOKENS // 2)
+                    packer, waiting = SumOfSquares(window), 0
+                    for pieces in windows:
+                        close(pieces)
+                        yield from made(batch_bytes)
+                    for piece in left:
+                        waiting += size_of(piece)
+                        if full := packer.put(piece, size_of(piece)):
                             waiting -= window
                             close(full)
-                    if waiting > OPEN_TOKENS:
-                        windows, left = settled(packer.rest(), window, OPEN_TOKENS // 2)
-                        packer, waiting = SumOfSquares(window), 0
-                        for pieces in windows:
-                            close(pieces)
-                            yield from made(batch_bytes)
-                        for piece in left:
-                            waiting += size_of(piece)
-                            if full := packer.put(piece, size_of(piece)):
-                                waiting -= window
-                                close(full)
-                    yield from made(batch_bytes)
+                yield from made(batch_bytes)
         windows, left = settled(packer.rest(), window)
         for pieces in itertools.chain(windows, taken(left)):
             close(pieces)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import keyed, stored, unused
+from tessella.llm.common import keyed, slices, stored, unused
 from tessella.llm.components import components
 
 WORDS = 4
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import numpy as np
 
-        for batch in batches:
+        for batch in slices(batches):
             made = b"".join([fingerprint(t, words) for t in batch.column(1).to_pylist()])
             yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(made, ">i8").astype(np.int64))], ["doc_id", "fp"])
 

@@ -19,6 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import slices
 from tessella.llm.suffix import Rolling
 
 K = 128
@@ -116,7 +117,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     def run(batches):
         make = Sketcher(k, words)
-        for batch in batches:
+        for batch in slices(batches):
             made = [make(t) for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([text_of(s) for s in made], pa.string()), pa.array([distinct(s, k) for s in made])], ["doc_id", "fingerprint", "n_shingles"])
 
@@ -206,7 +207,7 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def made():
             return pa.record_batch([pa.array(c, t) for c, t in zip([*zip(*out)] or [()] * len(kinds), kinds)], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             for extra, doc, text in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 own = make(text)
                 if last is not None:

@@ -44,7 +44,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import GROUP_BYTES, keyed, measured, partitions_for, stored, unused
+from tessella.llm.common import GROUP_BYTES, keyed, measured, partitions_for, slices, stored, unused
 from tessella.llm.simhash import grouped
 
 LENGTH = 100
@@ -257,7 +257,7 @@ def found_marks(docs: DataFrame, buckets: int, doc_buckets: int, length: int) ->
             out += bucket_rows(0, sent, (sent["anchor"] >> np.uint64(8)) % np.uint64(buckets))
             yield batch_of(out)
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = np.frombuffer(text.encode(), np.uint8) if text else b""
                 if len(data) < length:

@@ -24,6 +24,8 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import slices
+
 #: A unit keeps its leading white space; trailing white space is a unit.
 UNITS = re.compile(r"\s*\S+|\s+")
 #: White space to Python, but not to the library.
@@ -220,7 +222,7 @@ def frequent_units(docs: DataFrame, id_col: str, text_col: str, path: str, units
         from collections import Counter
 
         total = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total.update(u for u in UNITS.findall(text) if len(u) <= CACHE_CHARS)
         total = total.most_common(units)
@@ -262,7 +264,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def count(batches):
         counts = UnitCounts(path, unpacked(table.value))
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             sizes = [len(t.encode()) if t else 0 for t in texts]
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array([counts(t) if t else 0 for t in texts], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

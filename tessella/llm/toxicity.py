@@ -34,6 +34,8 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.common import slices
+
 #: Labelled rows of each kind that the fit draws.
 SAMPLE = {1: 1500, 0: 4000}
 WINDOW = 12
@@ -227,7 +229,7 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         score = scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.record_batch([batch.column(0), pa.array([score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
 
     out = rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
@@ -243,7 +245,7 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
 
     def run(batches):
         score = scorer(model)
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([score(t) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
