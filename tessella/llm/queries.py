@@ -71,5 +71,9 @@ def queries():
 
 def oracle_sql():
     return {
+        "op4_suffix_dedup": suffix.DIGESTS_SQL,
+        "op5_warc": warc.ROUND_TRIP_SQL,
         "op7_mix_sources": mixing.MIX_SQL,
+        "op8_stratified_shards": sharding.SHARD_SQL,
+        "op10_cross_polytope": embeddings.LINKS_SQL,
     }

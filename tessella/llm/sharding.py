@@ -64,3 +64,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", source_
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
         F.col("_shard").cast("int").alias("shard"), (F.col("_place") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+SHARD_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 16 AS size, hex(encode(coalesce(text, ''))) AS h,
+             md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k FROM documents),
+c AS (SELECT doc_id, source, size, k, xor(4294967295, list_reduce(list_concat([4294967295],
+               list_transform(range(size - 16), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)),
+               lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])))::BIGINT AS text_crc32 FROM r, t),
+a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id, size, text_crc32) AS n, count(*) OVER (PARTITION BY source) AS m, count(*) OVER () AS total FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (n - 0.5::DOUBLE) / m, source IS NULL, source, n) - 1 AS place FROM a)
+SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (place * {SHARDS} // total)::INT AS shard,
+       (place - (place * {SHARDS} // total * total + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard
+FROM p
+"""

@@ -557,3 +557,21 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if size_col in docs.columns:
         out = out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))
     return out.select(*docs.columns)
+
+
+DIGESTS_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS z FROM documents),
+s AS (SELECT doc_id, 1000 * j AS o, substr(h, (2000 * j + 1)::INT, {2000 + 2 * (LENGTH - 1)}) AS t
+      FROM (SELECT *, unnest(range((z - {LENGTH}) // 1000 + 1)) AS j FROM d WHERE z >= {LENGTH})),
+w AS (SELECT doc_id, o + i AS i, md5_number(substr(t, (2 * i + 1)::INT, {2 * LENGTH})) AS k
+      FROM (SELECT *, unnest(range(least(1000, len(t) // 2 - {LENGTH - 1}))) AS i FROM s)),
+f AS (SELECT k, min((doc_id, i)) AS first FROM w GROUP BY k HAVING count(*) > 1),
+x AS (SELECT doc_id, i FROM w JOIN f USING (k) WHERE (doc_id, i) <> first),
+b AS (SELECT *, CASE WHEN i > lag(i, 1, -1000) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH} THEN 1 ELSE 0 END AS new FROM x),
+g AS (SELECT doc_id, min(i) AS a, max(i) + {LENGTH} AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM b) GROUP BY doc_id, n),
+e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS p FROM g),
+q AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, (2 * p + 1)::INT, (2 * (a - p))::INT), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, z::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, (2 * last + 1)::INT) END)) AS kept_sha256
+FROM d LEFT JOIN q USING (doc_id)
+"""
