@@ -60,6 +60,11 @@ def ordered(column: Column, kind: str, op: str, other: Column, other_kind: str)
     return F.when(column.isNotNull() & other.isNotNull(), known)
 
 
+def other(column: Column, kind: str, op: str, value: Column, value_kind: str) -> Column:
+    """Where ``column op value`` does not hold: the inverse comparison, or a NULL; both reach a scan."""
+    return column.isNull() | ordered(column, kind, INVERTED[op], value, value_kind)
+
+
 def compared(column: Column, kind: str, op: str, other: Column, other_kind: str) -> Column:
     """Two-valued comparison in which NULL is below every value and equal to itself."""
     sides = F.when(column.isNull() & other.isNull(), F.lit(bool(OPS[op](0, 0))))

@@ -18,6 +18,11 @@ from tessella.operators.relational import last_by
 from tessella.operators.validate import document_error
 from tessella.plans.compiler import SEQ
 from tessella.schema import DocumentSchema
+from tessella.sources.scratch import stored
+
+
+#: Puts after which a collection's lineage is cut.
+CUT_EVERY = 20
 
 
 def _path(name: str) -> str:
@@ -64,7 +69,7 @@ def project(doc: SparkColumn, fields) -> SparkColumn:
 
 class Documents:
     def __init__(self, spark: SparkSession):
-        self.spark, self.collections, self.lock = spark, {}, threading.RLock()
+        self.spark, self.collections, self.lock, self.puts = spark, {}, threading.RLock(), 0
 
     def create(self, name: str, schema: DocumentSchema | None = None) -> None:
         with self.lock:
@@ -105,6 +110,9 @@ class Documents:
                     if c.unique and value is not None and matching(docs, P.Cmp(c.name, "=", value)).where(F.col("key") != key).head(1):
                         raise FailedPrecondition(f"{c.name} is not unique")
             known = {k: v for k, v in document.items() if kind_of_value(v)}
+            self.puts += 1
+            if self.puts % CUT_EVERY == 0:
+                docs = stored(docs.select("key", F.to_json("doc").alias("json"), SEQ)).select("key", F.parse_json("json").alias("doc"), SEQ)
             seq = docs.agg(F.coalesce(F.max(SEQ), F.lit(-1)).alias("m")).first().m + 1
             new = self.spark.createDataFrame([(key, json.dumps(known), seq)], f"key string, json string, {SEQ} long")
             self.collections[name] = (schema, docs.where(F.col("key") != key).unionByName(new.select("key", F.parse_json("json").alias("doc"), SEQ)))
@@ -136,6 +144,33 @@ class Documents:
         return docs.select("key", (project(F.col("doc"), fields) if fields else F.col("doc")).alias("doc"))
 
 
+def document_errors(docs: DataFrame, schema: DocumentSchema, doc_col: str = "doc") -> DataFrame:
+    """``docs`` with a column ``error``: the first broken rule of each document, or NULL; further fields are allowed."""
+    doc, tests = F.col(doc_col), []
+    for name, c in schema.fields.items():
+        kind = kind_column(doc, name)
+        if not c.nullable:
+            tests.append((kind.isNull(), f"{name} is missing"))
+        fits = kind.isin("int", "float") if c.kind == "float" else kind == c.kind
+        tests += [(kind.isNotNull() & ~fits & (kind == k), f"{name} is {c.kind}, not {k}") for k in ("int", "float", "string", "bool") if k != c.kind]
+        if c.kind == "string":
+            value = field(doc, name, "string")
+            broken = (F.octet_length(value) < (c.min_length or 0)) | (F.octet_length(value) > (c.max_length if c.max_length is not None else (1 << 31) - 1))
+            tests.append((broken | ~value.isin(*c.one_of) if c.one_of else broken, f"{name} breaks its constraints"))
+        if c.kind in ("int", "float") and (c.min_value is not None or c.max_value is not None):
+            value = field(doc, name, "float")
+            low, high = (float(x) if x is not None else y for x, y in ((c.min_value, -float("inf")), (c.max_value, float("inf"))))
+            tests.append(((value < low) | (value > high), f"{name} is out of range"))
+    return docs.withColumn("error", F.coalesce(*[F.when(t, F.lit(m)) for t, m in tests], F.lit(None).cast("string")))
+
+
+def check_unique(docs: DataFrame, schema: DocumentSchema, ignore_nulls: bool = True) -> None:
+    """Fails if two documents share a value of a unique field."""
+    for c in schema.fields.values():
+        if c.unique and duplicates(docs, c.name, c.kind, ignore_nulls).head(1):
+            raise FailedPrecondition(f"{c.name} is not unique")
+
+
 def upserted(puts: DataFrame) -> DataFrame:
     """(key, doc, __seq) puts reduced to the last one of each key."""
     return last_by(puts.select("key", F.to_json("doc").alias("j"), SEQ), ["key"]).select("key", F.parse_json("j").alias("doc"))

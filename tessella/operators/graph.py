@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import threading
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.errors import AlreadyExists, InvalidArgument, NotFound
@@ -19,6 +19,10 @@ NODE = "id long, labels array<string>, properties map<string,string>"
 EDGE = f"id long, src long, dst long, type string, labels array<string>, properties map<string,string>, {SEQ} long"
 
 
+#: Changes after which a graph's lineage is cut.
+CUT_EVERY = 20
+
+
 def edges_out(edges: DataFrame, node: int) -> DataFrame:
     return edges.where(F.col("src") == node).orderBy(SEQ).select("id")
 
@@ -41,14 +45,23 @@ def match(edges: DataFrame, node: int, kind: str | None = None) -> DataFrame:
     return out.orderBy(SEQ).select(F.col("dst").alias("node_id"))
 
 
-def _ranked(level: DataFrame, count: int) -> DataFrame:
+def _ranked(level: DataFrame, count: int) -> tuple[DataFrame, int]:
     """``level`` (id, parent, by_rank, by_seq) with the rank of each node in the
-    order of discovery: prefix counts over parents, then inside a parent."""
-    per = level.groupBy("by_rank").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("by_rank").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("by_rank", (F.coalesce(F.sum("n").over(before), F.lit(0)) + count).alias("base"))
-    inside = F.row_number().over(Window.partitionBy("by_rank").orderBy("by_seq"))
-    return level.join(per, "by_rank").select("id", "parent", (F.col("base") + inside - 1).alias("rank"))
+    order of discovery, and the number of nodes.
+
+    The level is range-sorted and stored with each row's place in its range;
+    the sizes of the ranges (as many as shuffle partitions) say where each begins.
+    """
+    order = ["by_rank", "by_seq"]
+    placed = level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = stored(placed.select("id", "parent", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
+    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, at = [], count
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(at)
+        at += sizes.get(part, 0)
+    base = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part").cast("int")) if starts else F.lit(0)
+    return placed.select("id", "parent", (F.col("place") + base).alias("rank")), at - count
 
 
 def breadth_first(edges: DataFrame, start: int, limit: int = 0, goal: int | None = None) -> DataFrame:
@@ -65,11 +78,10 @@ def breadth_first(edges: DataFrame, start: int, limit: int = 0, goal: int | None
         level += 1
         found = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("rank").alias("by_rank"), F.col(SEQ).alias("by_seq"))
         first = found.groupBy("id").agg(F.min(F.struct("by_rank", "by_seq", "parent")).alias("f")).select("id", "f.*")
-        new = first.join(seen.select("id"), "id", "left_anti")
-        frontier = stored(_ranked(new, count).withColumn("level", F.lit(level)).select("id", "parent", "rank", "level"))
-        added = frontier.count()
+        ranked, added = _ranked(first.join(seen.select("id"), "id", "left_anti"), count)
         if not added:
             break
+        frontier = ranked.withColumn("level", F.lit(level)).select("id", "parent", "rank", "level")
         count += added
         seen = seen.unionByName(frontier)
     return seen.where(F.col("rank") < limit) if limit else seen
@@ -140,7 +152,7 @@ def dangling(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 class Graphs:
     def __init__(self, spark: SparkSession):
-        self.spark, self.graphs, self.lock = spark, {}, threading.RLock()
+        self.spark, self.graphs, self.lock, self.changes = spark, {}, threading.RLock(), 0
 
     def create(self, name: str) -> None:
         with self.lock:
@@ -179,11 +191,34 @@ class Graphs:
             raise NotFound(f"no edge {edge}")
         return got[0]
 
+    def _known(self, name: str, node: int) -> DataFrame:
+        self.node(name, node)
+        return self.get(name)[1]
+
+    def edges_out(self, name: str, node: int) -> DataFrame:
+        return edges_out(self._known(name, node), node)
+
+    def edges_in(self, name: str, node: int) -> DataFrame:
+        return edges_in(self._known(name, node), node)
+
+    def neighbors_out(self, name: str, node: int) -> DataFrame:
+        return neighbors_out(self._known(name, node), node)
+
+    def neighbors_in(self, name: str, node: int) -> DataFrame:
+        return neighbors_in(self._known(name, node), node)
+
+    def _put(self, name: str, nodes: DataFrame, edges: DataFrame) -> None:
+        """The graph after a change; its lineage is cut now and then."""
+        self.changes = self.changes + 1
+        if self.changes % CUT_EVERY == 0:
+            nodes, edges = stored(nodes), stored(edges)
+        self.graphs[name] = (nodes, edges)
+
     def put_node(self, name: str, node: int, labels=(), properties=None) -> None:
         with self.lock:
             nodes, edges = self.get(name)
             new = self.spark.createDataFrame([(node, sorted(set(labels)), dict(properties or {}))], NODE)
-            self.graphs[name] = (nodes.where(F.col("id") != node).unionByName(new), edges)
+            self._put(name, nodes.where(F.col("id") != node).unionByName(new), edges)
 
     def put_edge(self, name: str, edge: int, src: int, dst: int, kind: str = "", labels=(), properties=None) -> None:
         with self.lock:
@@ -192,15 +227,15 @@ class Graphs:
                 raise InvalidArgument("an end of the edge is no node")
             seq = edges.agg(F.coalesce(F.max(SEQ), F.lit(-1)).alias("m")).first().m + 1
             new = self.spark.createDataFrame([(edge, src, dst, kind, sorted(set(labels)), dict(properties or {}), seq)], EDGE)
-            self.graphs[name] = (nodes, edges.where(F.col("id") != edge).unionByName(new))
+            self._put(name, nodes, edges.where(F.col("id") != edge).unionByName(new))
 
     def erase_node(self, name: str, node: int) -> None:
         with self.lock:
             self.node(name, node)
-            self.graphs[name] = erase_node(*self.get(name), node)
+            self._put(name, *erase_node(*self.get(name), node))
 
     def erase_edge(self, name: str, edge: int) -> None:
         with self.lock:
             self.edge(name, edge)
             nodes, edges = self.get(name)
-            self.graphs[name] = (nodes, edges.where(F.col("id") != edge))
+            self._put(name, nodes, edges.where(F.col("id") != edge))

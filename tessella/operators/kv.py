@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 from tessella.errors import InvalidArgument, NotFound, ParseError
 from tessella.operators.relational import last_by
 from tessella.plans.compiler import SEQ
+from tessella.sources.scratch import stored
 
 SCHEMA = f"table string, id string, value string, {SEQ} long"
+#: Puts after which the lineage is cut.
+CUT_EVERY = 20
 VALUE = r"""(?:'((?:\\.|[^'\\])*)'|"((?:\\.|[^"\\])*)"|([A-Za-z_]\w*|\d+))"""
 SELECT = re.compile(rf"\s*SELECT\s+(?:\*|[\w\s,]+?)\s+FROM\s+(\w+)\s+WHERE\s+(\w+)\s*(=|!=|<>|<=|>=|<|>)\s*{VALUE}\s*;?\s*$", re.I)
 INSERT = re.compile(r"\s*INSERT\s+INTO\s+(\w+)\s*\(([^)]*)\)\s*VALUES\s*\((.*?)\)\s*(?:,.*)?;?\s*$", re.I | re.S)
@@ -40,13 +43,23 @@ class KeyValues:
     """Puts and deletes are appended as rows; a delete is a null value."""
 
     def __init__(self, spark: SparkSession, pairs: DataFrame | None = None):
-        self.spark, self.lock = spark, threading.RLock()
+        self.spark, self.lock, self.puts = spark, threading.RLock(), 0
         self.pairs = pairs if pairs is not None else spark.createDataFrame([], SCHEMA)
 
     def _add(self, table, key, value):
         with self.lock:
-            seq = self.pairs.agg(F.coalesce(F.max(SEQ), F.lit(-1)).alias("m")).first().m + 1
-            self.pairs = self.pairs.unionByName(self.spark.createDataFrame([(table, key, value, seq)], SCHEMA))
+            self.pairs = self.pairs.unionByName(self.spark.createDataFrame([(table, key, value, self._next())], SCHEMA))
+            self.puts += 1
+            if self.puts % CUT_EVERY == 0:
+                self.pairs = stored(self.pairs)
+
+    def load(self, new: DataFrame) -> None:
+        """Further puts (table, id, value, __seq), later than all before."""
+        with self.lock:
+            self.pairs = self.pairs.unionByName(new.withColumn(SEQ, F.col(SEQ) + F.lit(self._next())))
+
+    def _next(self) -> int:
+        return self.pairs.agg(F.coalesce(F.max(SEQ), F.lit(-1)).alias("m")).first().m + 1
 
     def put(self, table: str, key: str, value: str) -> None:
         self._add(table, key, value)

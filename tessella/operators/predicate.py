@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.errors import InvalidArgument
-from tessella.functions.scalar import OPS, kind_of_type, kind_of_value, literal, ordered
+from tessella.functions.scalar import OPS, kind_of_type, kind_of_value, literal, ordered, other
 
 
 @dataclass(frozen=True)
@@ -85,13 +85,37 @@ def compile_with(pred, compare) -> Column:
     raise InvalidArgument(f"no predicate: {pred!r}")
 
 
+def _known(p: Cmp, schema: T.StructType):
+    """(column, kind) of a comparison that can hold, else None."""
+    if p.column not in schema.names or p.value is None:
+        return None
+    kind = kind_of_type(schema[p.column].dataType)
+    if kind is None:
+        raise InvalidArgument(f"column {p.column} is no scalar")
+    return F.col(f"`{p.column}`"), kind
+
+
 def to_column(pred, schema: T.StructType) -> Column:
+    """A two-valued column: never NULL."""
+
     def compare(p: Cmp) -> Column:
-        if p.column not in schema.names or p.value is None:
-            return F.lit(False)
-        kind = kind_of_type(schema[p.column].dataType)
-        if kind is None:
-            raise InvalidArgument(f"column {p.column} is no scalar")
-        return ordered(F.col(f"`{p.column}`"), kind, p.op, literal(p.value), kind_of_value(p.value))
+        known = _known(p, schema)
+        return ordered(*known, p.op, literal(p.value), kind_of_value(p.value)) if known else F.lit(False)
 
     return compile_with(pred, compare)
+
+
+def to_filter(pred, schema: T.StructType, holds: bool = True) -> Column:
+    """The rows on which ``pred`` holds (or, with ``holds`` false, all others) as
+    plain comparisons and IS NULL, which a scan can take; NULL stands for false."""
+    if isinstance(pred, Cmp):
+        known = _known(pred, schema)
+        if not known:
+            return F.lit(not holds)
+        return (ordered if holds else other)(*known, pred.op, literal(pred.value), kind_of_value(pred.value))
+    if isinstance(pred, (And, Or)):
+        both = isinstance(pred, And) == holds
+        return reduce(lambda a, b: a & b if both else a | b, [to_filter(p, schema, holds) for p in pred.parts], F.lit(isinstance(pred, And) == holds))
+    if isinstance(pred, Not):
+        return F.lit(not holds) if pred.part is None else to_filter(pred.part, schema, not holds)
+    raise InvalidArgument(f"no predicate: {pred!r}")

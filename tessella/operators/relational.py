@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.errors import AlreadyExists, InvalidArgument, NotFound
+from tessella.errors import AlreadyExists, EngineError, InvalidArgument, NotFound
 from tessella.functions.scalar import kind_of_value
 from tessella.operators import predicate as P
 from tessella.operators.validate import check_rows, check_types, check_unique
@@ -93,7 +93,7 @@ class Relational:
             if c not in visible(df):
                 raise InvalidArgument(f"unknown column {c}")
         if where is not None:
-            df = df.where(P.to_column(where, df.schema))
+            df = df.where(P.to_filter(where, df.schema))
         return df.select(*[f"`{c}`" for c in columns or visible(df)])
 
     # changes
@@ -155,19 +155,28 @@ class Relational:
         self._put(table, after)
         return seen.n
 
+    def update_status(self, name: str, sets: dict, where=None) -> tuple[str, str]:
+        """The update as (code, message), ("OK", "") if all went well; nothing is raised."""
+        try:
+            self.update(name, sets, where)
+        except EngineError as e:
+            return e.code, str(e)
+        return "OK", ""
+
     def update_with(self, name: str, change, where=None) -> int:
         """``change`` takes and returns a pandas frame of matching rows, batch by batch."""
         with self.lock:
             table = self._table(name)
             df = table.df
-            hit = F.lit(True) if where is None else P.to_column(where, df.schema)
+            hit = F.lit(True) if where is None else P.to_filter(where, df.schema)
+            rest = F.lit(False) if where is None else P.to_filter(where, df.schema, False)
 
             def run(frames):
                 for frame in frames:
                     yield change(frame)
 
             new = df.where(hit).mapInPandas(run, df.schema)
-            after = df.where(~hit).unionByName(new)
+            after = df.where(rest).unionByName(new)
             check_rows(after, table.schema)
             check_unique(after, table.schema)
             count = df.where(hit).count()
@@ -178,11 +187,13 @@ class Relational:
         with self.lock:
             table = self._table(name)
             P.check_columns(where, visible(table.df))
-            return self._remove(table, F.lit(True) if where is None else P.to_column(where, table.df.schema))
+            if where is None:
+                return self._remove(table, F.lit(True), F.lit(False))
+            return self._remove(table, *(P.to_filter(where, table.df.schema, holds) for holds in (True, False)))
 
-    def _remove(self, table: Table, hit) -> int:
+    def _remove(self, table: Table, hit, rest) -> int:
         count = table.df.where(hit).count()
-        self._put(table, table.df.where(~hit))
+        self._put(table, table.df.where(rest))
         return count
 
     # SQL
@@ -200,7 +211,8 @@ class Relational:
             hit = F.lit(True) if statement.where is None else F.coalesce(compiler.condition(statement.where, df), F.lit(False))
             if isinstance(statement, ast.Update):
                 return self._affected(self._change(statement.table, compiler.assignments(statement.sets, df), hit), "updated")
-            return self._affected(self._remove(self._table(statement.table), hit), "deleted")
+            rest = F.lit(False) if statement.where is None else compiler.unmet(statement.where, df)
+            return self._affected(self._remove(self._table(statement.table), hit, rest), "deleted")
 
     @staticmethod
     def _constant(expr):

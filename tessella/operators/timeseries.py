@@ -5,7 +5,9 @@ Times are compared in whole seconds, truncated toward zero.
 
 from __future__ import annotations
 
+import math
 import threading
+from datetime import datetime, timezone
 
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,11 +19,14 @@ from tessella.operators import predicate as P
 from tessella.operators.validate import check_rows, check_types
 from tessella.plans.compiler import SEQ
 from tessella.schema import SeriesSchema
+from tessella.sources.scratch import stored
 
 #: Units a second, or seconds a unit.
 PARTS = {"ns": 1_000_000_000, "us": 1_000_000, "ms": 1000, "s": 1}
 SPANS = {"m": 60, "h": 3600, "d": 86_400}
 PARTITION = {"hourly": 3600, "daily": 86_400}
+#: The column of a stored series' partition buckets.
+BUCKET = "__bucket"
 AGGREGATES = ("avg", "min", "max", "sum", "count")
 
 
@@ -50,17 +55,36 @@ def partition_bucket(tsec: SparkColumn, partition: str = "hourly") -> SparkColum
     return tsec - F.pmod(tsec, size)
 
 
-def time_range(df: DataFrame, ts: str, start: int, end: int, granularity: str = "s", where=None, partition_col: str | None = None, partition: str = "hourly") -> DataFrame:
-    """Rows with start <= seconds < end that match; a partition column, if given, prunes files."""
+def raw_bounds(low: int, high: int, granularity: str) -> tuple[int, int]:
+    """The first and last raw time whose seconds, truncated toward zero, lie in [low, high)."""
+    if granularity in SPANS:
+        n = SPANS[granularity]
+        return -(-low // n), (high - 1) // n
+    n, last = PARTS[granularity], high - 1
+    return low * n if low > 0 else (low - 1) * n + 1, (last + 1) * n - 1 if last >= 0 else last * n
+
+
+def time_range(df: DataFrame, ts: str, start: int, end: int, granularity: str = "s", where=None, partition_col: str | None = None, partition: str = "hourly", instant: str | None = None) -> DataFrame:
+    """Rows with start <= seconds < end that match.
+
+    The bounds are put to the raw column, so that a scan can take them; a
+    partition column, if given, prunes files, and so does ``instant``, a
+    timestamp column of which ``ts`` holds the seconds.
+    """
     if end < start:
         raise InvalidArgument("the end lies before the start")
     low, high = whole_seconds(start, granularity), whole_seconds(end, granularity)
     if partition_col:
         size = PARTITION[partition]
         df = df.where(F.col(partition_col).between(low // size * size, high // size * size))
-    tsec = seconds(F.col(ts), granularity)
-    df = df.where((tsec >= low) & (tsec < high))
-    return df if where is None else df.where(P.to_column(where, df.schema))
+    if instant and granularity == "s":
+        kind = df.schema[instant].dataType.simpleString()
+        moment = lambda s: F.lit(str(datetime.fromtimestamp(max(-62_135_596_800, min(253_402_300_799, s)), timezone.utc).replace(tzinfo=None))).cast(kind)
+        df = df.where((F.col(instant) >= moment(low - 1)) & (F.col(instant) < moment(high + 1)))
+    first, last = raw_bounds(low, high, granularity)
+    edge = lambda n: F.lit(max(-(1 << 63), min((1 << 63) - 1, n))).cast("bigint")
+    df = df.where((F.col(ts) >= edge(first)) & (F.col(ts) <= edge(last)))
+    return df if where is None else df.where(P.to_filter(where, df.schema))
 
 
 def aggregate(df: DataFrame, ts: str, value: str, what: str, start: int, end: int, width: int, granularity: str = "s", where=None, **pruning) -> DataFrame:
@@ -83,23 +107,23 @@ def aggregate(df: DataFrame, ts: str, value: str, what: str, start: int, end: in
     return df.groupBy(bucket.alias("bucket_start")).agg(out.alias("value")).orderBy("bucket_start")
 
 
-def retain_ttl(df: DataFrame, tsec: SparkColumn, seq: str, ttl: int, spans: int = 256) -> DataFrame:
+def retain_ttl(df: DataFrame, tsec: SparkColumn, seq: str, ttl: int, spans: int | None = None) -> DataFrame:
     """What is left after rows arrived in the order of ``seq`` and each dropped
     those older than itself by more than ``ttl``: a row stays if no row from it
     on is newer by more.
 
-    The running maximum is distributed: ranges of ``seq`` (no more than
-    ``spans``) are summed up first, then each range runs on its own.
+    The running maximum is distributed: spans of ``seq`` of about the root of
+    the row count (or ``spans``) are summed up first, then each runs on its own.
     """
-    low, high = df.agg(F.min(seq), F.max(seq)).first()
+    low, high, count = df.agg(F.min(seq), F.max(seq), F.count(F.lit(1))).first()
     if low is None:
         return df
-    step = max(1, -(-(high - low + 1) // spans))
+    step = max(1, -(-(high - low + 1) // (spans or math.isqrt(count) + 1)))
     rows = df.withColumn("_t", tsec).withColumn("_span", F.expr(f"cast((`{seq}` - {low}) div {step} as bigint)"))
     tops = rows.groupBy("_span").agg(F.max("_t").alias("_top"))
     tops = tops.select("_span", F.max("_top").over(Window.orderBy("_span").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
     own = Window.partitionBy("_span").orderBy(seq).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.join(F.broadcast(tops), "_span").withColumn("_newest", F.greatest(F.max("_t").over(own), "_later"))
+    rows = rows.join(tops, "_span").withColumn("_newest", F.greatest(F.max("_t").over(own), "_later"))
     return rows.where(F.col("_t") >= F.col("_newest") - ttl).select(*df.columns)
 
 
@@ -187,15 +211,66 @@ class TimeSeries:
     def names(self) -> list[str]:
         return sorted(self.series)
 
+    def register(self, name: str, schema: SeriesSchema, df: DataFrame, partition: str = "hourly", order: str | None = None) -> None:
+        """An existing DataFrame as a series; ``order`` is the column by which its
+        rows came (else the time).  If it has the column ``BUCKET``, as files
+        written by ``save`` have, range queries prune by it."""
+        with self.lock:
+            if name in self.series:
+                raise AlreadyExists(f"series {name} exists")
+            if SEQ not in df.columns:
+                df = df.withColumn(SEQ, F.col(order or schema.timestamp).cast("bigint"))
+            self.series[name] = (schema, partition, df)
+
+    def save(self, name: str, path: str) -> None:
+        """The series as Parquet, in folders by partition bucket."""
+        schema, partition, df = self._get(name)
+        bucket = partition_bucket(seconds(F.col(schema.timestamp), schema.granularity), partition)
+        df.drop(BUCKET).withColumn(BUCKET, bucket).repartition(F.col(BUCKET), F.col(SEQ) % 16).sortWithinPartitions(BUCKET, schema.timestamp).write.partitionBy(BUCKET).parquet(path)
+
+    def load(self, name: str, schema: SeriesSchema, path: str, partition: str = "hourly") -> None:
+        """A series that ``save`` has written."""
+        struct = schema.table().struct().add(SEQ, "long").add(BUCKET, "long")
+        self.register(name, schema, self.spark.read.schema(struct).parquet(path), partition)
+
+    def _pruning(self, name: str) -> dict:
+        _, partition, df = self._get(name)
+        return {"partition_col": BUCKET, "partition": partition} if BUCKET in df.columns else {}
+
     def _get(self, name):
         if name not in self.series:
             raise NotFound(f"no series {name}")
         return self.series[name]
 
+    def append_frame(self, name: str, new: DataFrame, order: str | None = None) -> None:
+        """The rows of a DataFrame, in the order of column ``order`` (else of its partitions), then retention.
+
+        What both rules together keep is bounded by ``max_rows``; the fold over
+        it and the new rows is sequential.  One rule alone is distributed.
+        """
+        with self.lock:
+            schema, partition, df = self._get(name)
+            table = schema.table()
+            missing = [c for c in table.names if c not in new.columns]
+            if missing:
+                raise FailedPrecondition(f"no column {missing[0]}")
+            if kind_of_type(new.schema[schema.timestamp].dataType) != "int":
+                raise InvalidArgument("the timestamp is no whole number")
+            check_types(table, table.names, new.schema)
+            if order:
+                ranged = stored(new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()))
+                new = ranged.withColumn(SEQ, F.col("_place"))
+            else:
+                new = new.withColumn(SEQ, F.monotonically_increasing_id())
+            new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in table.struct().fields], SEQ)
+            check_rows(new, table)
+            base = df.agg(F.coalesce(F.max(SEQ), F.lit(-1)).alias("m")).first().m + 1
+            self._retained(name, df.drop(BUCKET).unionByName(new.withColumn(SEQ, F.col(SEQ) + base)))
+
     def append(self, name: str, rows) -> None:
         """Rows in arrival order, then retention."""
         with self.lock:
-            schema, partition, df = self._get(name)
+            schema, _, df = self._get(name)
             table = schema.table()
             if any(len(r) != len(table.names) for r in rows):
                 raise FailedPrecondition("a row has too few or too many values")
@@ -208,16 +283,19 @@ class TimeSeries:
             new = self.spark.createDataFrame([(*r, base + i) for i, r in enumerate(full)], struct.add(SEQ, "long"))
             check_types(table, table.names, new.schema)
             check_rows(new, table)
-            df = df.unionByName(new)
-            tsec = seconds(F.col(schema.timestamp), schema.granularity)
-            if schema.ttl_seconds > 0 and schema.max_rows > 0 and schema.drop_oldest:
-                whole = df.withColumn("_all", F.lit(1))
-                df = retain_both(whole, tsec, SEQ, schema.ttl_seconds, schema.max_rows, ["_all"], partition).drop("_all")
-            elif schema.ttl_seconds > 0:
-                df = retain_ttl(df, tsec, SEQ, schema.ttl_seconds)
-            else:
-                df = retain_max_rows(df, tsec, SEQ, schema.max_rows, partition, schema.drop_oldest)
-            self.series[name] = (schema, partition, df)
+            self._retained(name, df.drop(BUCKET).unionByName(new))
+
+    def _retained(self, name: str, df: DataFrame) -> None:
+        schema, partition, _ = self._get(name)
+        tsec = seconds(F.col(schema.timestamp), schema.granularity)
+        if schema.ttl_seconds > 0 and schema.max_rows > 0 and schema.drop_oldest:
+            whole = df.withColumn("_all", F.lit(1))
+            df = retain_both(whole, tsec, SEQ, schema.ttl_seconds, schema.max_rows, ["_all"], partition).drop("_all")
+        elif schema.ttl_seconds > 0:
+            df = retain_ttl(df, tsec, SEQ, schema.ttl_seconds)
+        else:
+            df = retain_max_rows(df, tsec, SEQ, schema.max_rows, partition, schema.drop_oldest)
+        self.series[name] = (schema, partition, df)
 
     def range_query(self, name: str, columns, start: int, end: int, where=None) -> DataFrame:
         schema, partition, df = self._get(name)
@@ -225,11 +303,11 @@ class TimeSeries:
             if c not in schema.table().names:
                 raise InvalidArgument(f"unknown column {c}")
         bucket = partition_bucket(seconds(F.col(schema.timestamp), schema.granularity), partition)
-        out = time_range(df, schema.timestamp, start, end, schema.granularity, where).orderBy(bucket, SEQ)
+        out = time_range(df, schema.timestamp, start, end, schema.granularity, where, **self._pruning(name)).orderBy(bucket, SEQ)
         return out.select(*[f"`{c}`" for c in columns or schema.table().names])
 
     def aggregate(self, name: str, value: str, what: str, start: int, end: int, width: int, where=None) -> DataFrame:
         schema, _, df = self._get(name)
         if value not in schema.table().names:
             raise InvalidArgument(f"unknown column {value}")
-        return aggregate(df, schema.timestamp, value, what, start, end, width, schema.granularity, where)
+        return aggregate(df, schema.timestamp, value, what, start, end, width, schema.granularity, where, **self._pruning(name))

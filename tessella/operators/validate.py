@@ -59,9 +59,16 @@ def check_rows(df: DataFrame, schema: TableSchema) -> None:
 
 
 def check_unique(df: DataFrame, schema: TableSchema, ignore_nulls: bool = True) -> None:
-    for c in schema.columns:
-        if c.unique and duplicates(df, c.name, ignore_nulls).head(1):
-            raise FailedPrecondition(f"{c.name} is not unique")
+    """Fails if a unique column repeats a value; one aggregation for all columns."""
+    names = [c.name for c in schema.columns if c.unique]
+    if not names:
+        return
+    form = lambda n: F.when(F.col(f"`{n}`").isNotNull(), text(F.col(f"`{n}`"), kind_of_type(df.schema[n].dataType) or "string"))
+    counts = [x for n in names for x in (F.count(form(n)), F.count_distinct(form(n)))]
+    rows, *found = df.agg(F.count(F.lit(1)), *counts).first()
+    for name, count, distinct in zip(names, found[::2], found[1::2]):
+        if distinct < count or not ignore_nulls and rows - count > 1:
+            raise FailedPrecondition(f"{name} is not unique")
 
 
 def document_error(document: dict, fields: dict[str, Column]) -> str | None:

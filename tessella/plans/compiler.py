@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import InvalidArgument
-from tessella.functions.scalar import MIRRORED, OPS, RANK, arithmetic, compared, kind_of_type, kind_of_value, literal, numeric, ordered, truth
+from tessella.functions.scalar import INVERTED, MIRRORED, OPS, RANK, arithmetic, compared, kind_of_type, kind_of_value, literal, numeric, ordered, truth
 from tessella.plans.ast import Between, Binary, Call, Item, Literal, Name, Negation, Select
 from tessella.plans.parser import signed
 
@@ -58,6 +58,26 @@ def condition(expr, df: DataFrame) -> Column:
     raise InvalidArgument(f"WHERE does not take {expr}")
 
 
+def unmet(expr, df: DataFrame, is_true: bool = True) -> Column:
+    """Where a WHERE clause is not true (or, with ``is_true`` false, not false):
+    comparisons and IS NULL without a NOT around them, which a scan can take."""
+    if isinstance(expr, Negation):
+        return unmet(expr.part, df, not is_true)
+    if isinstance(expr, Binary) and expr.op in ("AND", "OR"):
+        a, b = unmet(expr.left, df, is_true), unmet(expr.right, df, is_true)
+        return a | b if (expr.op == "AND") == is_true else a & b
+    if isinstance(expr, Between):
+        return unmet(Binary("AND", Binary(">=", expr.value, expr.low), Binary("<=", expr.value, expr.high)), df, is_true)
+    if isinstance(expr, Binary) and expr.op in OPS:
+        left, right, op = signed(expr.left), signed(expr.right), expr.op
+        if isinstance(left, Literal) and isinstance(right, Literal):
+            return F.lit(_folded(left.value, op, right.value) != is_true)
+        name = left if isinstance(left, Name) else right
+        met = condition(Binary(INVERTED[op] if is_true else op, left, right), df)
+        return _column(df, name.name)[0].isNull() | met
+    raise InvalidArgument(f"WHERE does not take {expr}")
+
+
 def _folded(a, op, b) -> bool:
     ka, kb = kind_of_value(a), kind_of_value(b)
     if ka == kb or numeric(ka) and numeric(kb):

@@ -57,12 +57,12 @@ def predicate_query(name, pred, columns):
 
 
 def series_range(columns, start, end, granularity="s", where=None):
-    return lambda spark, sf_dir: TS.time_range(events(spark, sf_dir), "ts_s", start, end, granularity, where).select(*columns)
+    return lambda spark, sf_dir: TS.time_range(events(spark, sf_dir), "ts_s", start, end, granularity, where, instant="ts").select(*columns)
 
 
 def series_aggregate(what, value="value", start=START, end=2_000_000_000, width=3600, granularity="s", where=None):
     def run(spark, sf_dir):
-        out = TS.aggregate(events(spark, sf_dir), "ts_s", value, what, start, end, width, granularity, where)
+        out = TS.aggregate(events(spark, sf_dir), "ts_s", value, what, start, end, width, granularity, where, instant="ts")
         return out.withColumn("value", F.round("value", 6)) if what != "count" else out
 
     return run
@@ -73,6 +73,18 @@ def series_sql(expression, value="value", start=START, end=2_000_000_000, width=
     return f"SELECT ({scale} - (({scale} - {start}) % {width} + {width}) % {width})::BIGINT AS bucket_start, {rounded.replace('VALUE', value)} AS value FROM {EVENTS} WHERE {scale} >= {start} AND {scale} < {end} AND {where} GROUP BY 1"
 
 
+ARRIVAL = "(event_id // 10007 * 10007 + (event_id * 7919) % 10007)"
+#: Row by row in the order of arrival: what is too old goes, then the first of the oldest hour beyond 20 rows.
+BOTH = f"""WITH RECURSIVE a AS (SELECT event_id, user_id, ts_s, {ARRIVAL} AS s, row_number() OVER (PARTITION BY user_id ORDER BY {ARRIVAL}) AS i FROM {EVENTS}),
+r(user_id, i, kept) AS (
+  SELECT user_id, 0::BIGINT, []::STRUCT(b BIGINT, s BIGINT, t BIGINT, e BIGINT)[] FROM (SELECT DISTINCT user_id FROM a)
+  UNION ALL
+  SELECT user_id, i, CASE WHEN len(l) > 20 THEN l[len(l) - 19:] ELSE l END
+  FROM (SELECT a.user_id, a.i, list_sort(list_filter(list_append(r.kept, {{'b': a.ts_s // 3600 * 3600, 's': a.s, 't': a.ts_s, 'e': a.event_id}}), lambda x: x.t >= a.ts_s - 2000000)) AS l
+        FROM r JOIN a ON a.user_id = r.user_id AND a.i = r.i + 1))
+SELECT unnest(kept).e AS event_id, user_id FROM (SELECT user_id, arg_max(kept, i) AS kept FROM r GROUP BY user_id)"""
+
+
 def arrivals(spark, sf_dir) -> DataFrame:
     """Events in an order of arrival that is not that of time: every 10,007 ids in an order of their own."""
     block = F.floor(F.col("event_id") / 10_007).cast("long")
@@ -127,21 +139,13 @@ def edges(spark, sf_dir) -> DataFrame:
 
 
 EDGES = "(SELECT a.event_id AS id, a.user_id AS src, b.user_id AS dst, a.event_type AS type, a.event_id AS seq FROM events a JOIN events b ON b.event_id = a.event_id + 3)"
-#: Few enough edges that paths have several steps; only queries whose SQL says so are cut to them.
-SPARSE = 160
-
-
-def sparse(spark, sf_dir):
-    return edges(spark, sf_dir).where(F.col("id") < SPARSE)
-
-
 def nodes(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
 
 
-def graphs(spark, sf_dir, links=edges) -> G.Graphs:
+def graphs(spark, sf_dir) -> G.Graphs:
     out = G.Graphs(spark)
-    out.register("g", nodes(spark, sf_dir), links(spark, sf_dir))
+    out.register("g", nodes(spark, sf_dir), edges(spark, sf_dir))
     return out
 
 
@@ -149,31 +153,38 @@ def first_node(spark, sf_dir) -> int:
     return edges(spark, sf_dir).orderBy(SEQ).select("src").first().src
 
 
-REACH = f"WITH RECURSIVE e AS (SELECT src, dst, seq FROM {EDGES} WHERE id < {SPARSE}), s AS (SELECT src AS n FROM e ORDER BY seq LIMIT 1), r(n, d) AS (SELECT n, 0 FROM s UNION SELECT dst, d + 1 FROM r JOIN e ON src = n WHERE d < 160), f AS (SELECT n, min(d) AS d FROM r GROUP BY n)"
+#: The nodes within 30 steps of the first, and their distance.
+REACH = f"WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {EDGES}), s AS (SELECT src AS n FROM {EDGES} ORDER BY seq LIMIT 1), r(n, d) AS (SELECT n, 0 FROM s UNION SELECT dst, d + 1 FROM r JOIN e ON src = n WHERE d < 30), f AS (SELECT n, min(d) AS d FROM r GROUP BY n)"
+#: The nodes within 3 steps in the order of a queue: by level, place of the first parent, and edge.
+QUEUE = f"""WITH e AS (SELECT * FROM {EDGES}), l0 AS (SELECT src AS n, 0 AS k, 0 AS s FROM e ORDER BY seq LIMIT 1),
+l1 AS (SELECT dst AS n, min(seq) AS s FROM e WHERE src = (SELECT n FROM l0) AND dst NOT IN (SELECT n FROM l0) GROUP BY dst),
+r1 AS (SELECT n, row_number() OVER (ORDER BY s) AS k FROM l1),
+l2 AS (SELECT dst AS n, min((k, seq)) AS s, arg_min(src, (k, seq)) AS p FROM e JOIN r1 ON src = n WHERE dst NOT IN (SELECT n FROM l0) AND dst NOT IN (SELECT n FROM l1) GROUP BY dst),
+r2 AS (SELECT n, row_number() OVER (ORDER BY s) AS k FROM l2),
+l3 AS (SELECT dst AS n, min((k, seq)) AS s, arg_min(src, (k, seq)) AS p FROM e JOIN r2 ON src = n WHERE dst NOT IN (SELECT n FROM l0) AND dst NOT IN (SELECT n FROM l1) AND dst NOT IN (SELECT n FROM l2) GROUP BY dst),
+q AS (SELECT n, 0 AS lev, 0 AS k, 0 AS s, NULL::BIGINT AS p FROM l0 UNION ALL SELECT n, 1, 0, s, (SELECT n FROM l0) FROM l1
+      UNION ALL SELECT n, 2, row_number() OVER (ORDER BY s), 0, p FROM l2 UNION ALL SELECT n, 3, row_number() OVER (ORDER BY s), 0, p FROM l3)"""
 
 
-def bfs_levels(links=edges):
-    return lambda spark, sf_dir: G.breadth_first(links(spark, sf_dir), first_node(spark, sf_dir)).select(F.col("id").alias("node_id"), F.col("level").cast("long").alias("level"))
+def bfs_levels(spark, sf_dir):
+    return G.breadth_first(edges(spark, sf_dir), first_node(spark, sf_dir)).select(F.col("id").alias("node_id"), F.col("level").cast("long").alias("level"))
 
 
-def farthest(spark, sf_dir, links=edges) -> int:
-    return G.breadth_first(links(spark, sf_dir), first_node(spark, sf_dir)).orderBy(F.desc("level"), F.desc("id")).select("id").first().id
+def farthest(spark, sf_dir) -> int:
+    return G.breadth_first(edges(spark, sf_dir), first_node(spark, sf_dir)).orderBy(F.desc("level"), F.desc("id")).select("id").first().id
 
 
-def graph_statement(text, ends=False, links=edges):
+def graph_statement(text, ends=False):
     def run(spark, sf_dir):
         a = first_node(spark, sf_dir)
-        return graph_language.execute(graphs(spark, sf_dir, links), text.format(a=a, b=farthest(spark, sf_dir, links) if ends else a))
+        return graph_language.execute(graphs(spark, sf_dir), text.format(a=a, b=farthest(spark, sf_dir) if ends else a))
 
     return run
 
 
-def shortest_steps(links=edges):
-    def run(spark, sf_dir):
-        path = graph_statement("SHORTEST_PATH g FROM {a} TO {b}", True, links)(spark, sf_dir)
-        return path.groupBy(F.lit(1).cast("long").alias("one")).agg(F.max("step").alias("steps"), F.max_by("node_id", "step").alias("goal")).drop("one")
-
-    return run
+def shortest_steps(spark, sf_dir):
+    path = graph_statement("SHORTEST_PATH g FROM {a} TO {b}", True)(spark, sf_dir)
+    return path.groupBy(F.lit(1).cast("long").alias("one")).agg(F.max("step").alias("steps"), F.max_by("node_id", "step").alias("goal")).drop("one")
 
 
 def node_erased(spark, sf_dir):
@@ -271,9 +282,9 @@ def _q():
         "ts_agg_anchor_offset": (series_aggregate("sum", start=START + 1234, width=5000), series_sql("sum(VALUE)", start=START + 1234, width=5000)),
         "ts_agg_where": (series_aggregate("count", where=c("event_type", "=", "purchase"), width=86_400), series_sql("count(*)", where="event_type = 'purchase'", width=86_400)),
         "ts_partition_bucket": (partition_buckets, f"SELECT ts_s // 86400 * 86400 AS bucket, count(*) AS rows FROM {EVENTS} GROUP BY 1"),
-        "ts_retention_ttl": (retention_ttl, f"SELECT event_id FROM (SELECT event_id, ts_s, max(ts_s) OVER (ORDER BY (event_id * 7919) % 10007 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM {EVENTS} WHERE event_id < 10007) WHERE ts_s >= m - 2000000"),
-        "ts_retention_maxrows": (retention_rows, f"SELECT event_id FROM {EVENTS} WHERE event_id < 10007 ORDER BY ts_s // 3600 DESC, (event_id * 7919) % 10007 DESC LIMIT 777"),
-        "ts_retention_both": (retention_both, None),
+        "ts_retention_ttl": (retention_ttl, f"SELECT event_id FROM (SELECT event_id, ts_s, max(ts_s) OVER (ORDER BY {ARRIVAL} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS m FROM {EVENTS}) WHERE ts_s >= m - 2000000"),
+        "ts_retention_maxrows": (retention_rows, f"SELECT event_id FROM {EVENTS} ORDER BY ts_s // 3600 DESC, {ARRIVAL} DESC LIMIT 777"),
+        "ts_retention_both": (retention_both, BOTH),
         "doc_filter": (document_query(P.all_of(c("value", ">", 100), c("kind", "=", "view"))), "SELECT event_id::VARCHAR AS key FROM events WHERE event_id % 7 <> 0 AND event_type = 'view' AND (event_id % 11 = 0 OR value > 100)"),
         "doc_not_missing": (document_query(P.negation(c("value", "<", 100))), "SELECT event_id::VARCHAR AS key FROM events WHERE NOT (event_id % 7 <> 0 AND event_id % 11 <> 0 AND value < 100)"),
         "doc_mixed_kinds": (document_query(c("value", ">=", "n5")), "SELECT event_id::VARCHAR AS key FROM events WHERE event_id % 7 <> 0 AND event_id % 11 = 0 AND 'n' || user_id::VARCHAR >= 'n5'"),
@@ -283,20 +294,15 @@ def _q():
         "graph_out": (lambda s, d: G.neighbors_out(edges(s, d), first_node(s, d)), f"SELECT dst AS node_id FROM {EDGES} WHERE src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "graph_in": (lambda s, d: G.neighbors_in(edges(s, d), first_node(s, d)), f"SELECT src AS node_id FROM {EDGES} WHERE dst = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "graph_edges_out": (lambda s, d: G.edges_out(edges(s, d), first_node(s, d)), f"SELECT id FROM {EDGES} WHERE src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
-        "graph_bfs_levels": (bfs_levels(sparse), f"{REACH} SELECT n AS node_id, d::BIGINT AS level FROM f"),
-        "graph_traverse_bfs": (graph_statement("TRAVERSE g FROM {a} BFS", links=sparse), f"{REACH} SELECT n AS node_id FROM f"),
-        "graph_traverse_dfs": (graph_statement("TRAVERSE g FROM {a} DFS", links=sparse), f"{REACH} SELECT n AS node_id FROM f"),
-        "graph_traverse_limit": (graph_statement("TRAVERSE g FROM {a} BFS LIMIT 7"), None),
-        "graph_shortest_len": (shortest_steps(sparse), f"{REACH} SELECT d::BIGINT AS steps, n AS goal FROM f ORDER BY d DESC, n DESC LIMIT 1"),
+        "graph_bfs_levels": (bfs_levels, f"{REACH} SELECT n AS node_id, d::BIGINT AS level FROM f"),
+        "graph_traverse_bfs": (graph_statement("TRAVERSE g FROM {a} BFS"), f"{REACH} SELECT n AS node_id FROM f"),
+        "graph_traverse_dfs": (graph_statement("TRAVERSE g FROM {a} DFS"), f"{REACH} SELECT n AS node_id FROM f"),
+        "graph_traverse_limit": (graph_statement("TRAVERSE g FROM {a} BFS LIMIT 7"), f"{QUEUE} SELECT n AS node_id FROM q ORDER BY lev, k, s LIMIT 7"),
+        "graph_shortest_len": (shortest_steps, f"{REACH} SELECT d::BIGINT AS steps, n AS goal FROM f ORDER BY d DESC, n DESC LIMIT 1"),
         "graph_connected": (graph_statement("CONNECTED g FROM {a} TO {b}", True), "SELECT true AS value"),
         "graph_unreachable": (graph_statement("SHORTEST_PATH g FROM {a} TO 999999"), "SELECT 1::BIGINT AS step, 1::BIGINT AS node_id WHERE false"),
         "graph_match_typed": (lambda s, d: G.match(edges(s, d), first_node(s, d), "Click"), f"SELECT dst AS node_id FROM {EDGES} WHERE type = 'click' AND src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
-        "graph_match_untyped": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b", links=sparse), f"SELECT dst AS node_id FROM {EDGES} WHERE id < {SPARSE} AND src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
-        "graph_bfs_levels_whole": (bfs_levels(), None),
-        "graph_traverse_bfs_whole": (graph_statement("TRAVERSE g FROM {a} BFS"), None),
-        "graph_traverse_dfs_whole": (graph_statement("TRAVERSE g FROM {a} DFS"), None),
-        "graph_shortest_len_whole": (shortest_steps(), None),
-        "graph_match_untyped_whole": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b"), None),
+        "graph_match_untyped": (graph_statement("MATCH g (a)-[]->(b) WHERE a = {a} RETURN b"), f"SELECT dst AS node_id FROM {EDGES} WHERE src = (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "node_erase_cascade": (node_erased, f"SELECT id, src, dst FROM {EDGES} WHERE src <> (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1) AND dst <> (SELECT src FROM {EDGES} ORDER BY seq LIMIT 1)"),
         "edge_endpoint_check": (edges_dangling, f"SELECT id FROM {EDGES} WHERE src % 3 = 0 OR dst % 3 = 0"),
         "kv_put_last_wins": (lambda s, d: KV.latest(pairs(s, d)).select("id", "value"), "SELECT user_id::VARCHAR AS id, arg_max(event_type, event_id) AS value FROM events GROUP BY 1"),
@@ -320,7 +326,9 @@ def _q():
     for name, unit, seconds in (("minutes", "m", 60), ("hours", "h", 3600), ("days", "d", 86_400)):
         # the column holds seconds; read as ``unit`` it is that many seconds each
         out[f"ts_agg_{name}"] = (series_aggregate("count", start=START // 1000, end=2_000_000_000, width=1000, granularity=unit), series_sql("count(*)", start=START // 1000 * seconds, end=2_000_000_000 * seconds, width=1000 * seconds, scale=f"(ts_s * {seconds})"))
-    return out
+    from tessella.plans import surface
+
+    return out | surface.entries()
 
 
 def flagship(spark, sf_dir) -> DataFrame:

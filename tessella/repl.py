@@ -49,9 +49,8 @@ class Shell(cmd.Cmd):
     def do_import(self, rest):
         """import TABLE FILE: pairs from lines, the first comma ends the id"""
         table, path = rest.split(None, 1)
-        pairs = self.session.pairs
         new = files.import_pairs(self.session.spark, path, table)
-        pairs.pairs = pairs.pairs.unionByName(new)
+        self.session.pairs.load(new)
         self.stdout.write(f"{new.count()} imported\n")
 
     def do_export(self, rest):

@@ -14,6 +14,8 @@ from tessella.errors import EngineError, InvalidArgument
 from tessella.schema import Column, TableSchema
 from tessella.sources import results
 
+#: Rows of one answer; ``next`` in it is the offset of those that follow.
+MOST_ROWS = 10_000
 STATUS = {"NotFound": 404, "AlreadyExists": 409, "InvalidArgument": 400, "ParseError": 400, "FailedPrecondition": 412}
 
 
@@ -29,7 +31,13 @@ def answer(session, method: str, path: str, body: bytes, claims: dict | None) ->
             text = str(got.get("query", ""))
             if not auth.allows(claims, "read" if text.lstrip().upper().startswith("SELECT") else "write"):
                 return 403, {"error": "not allowed"}
-            return 200, json.loads(results.to_json(session.sql(text), metadata=True))
+            limit, offset = int(got.get("limit", MOST_ROWS)), int(got.get("offset", 0))
+            if not 0 <= limit <= MOST_ROWS or offset < 0:
+                raise InvalidArgument(f"limit is 0 to {MOST_ROWS}, offset 0 or more")
+            out = json.loads(results.to_json(session.sql(text).offset(offset).limit(limit + 1), metadata=True))
+            if len(out["rows"]) > limit:  # there are more than asked for
+                out |= {"rows": out["rows"][:limit], "next": offset + limit}
+            return 200, out
         if (method, path) == ("POST", "/tables"):
             if not auth.allows(claims, "admin"):
                 return 403, {"error": "not allowed"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.errors import InvalidArgument
 from tessella.plans.compiler import SEQ
 
 
@@ -19,6 +20,20 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partition_by=()
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+COMPRESSIONS = ("none", "snappy", "gzip", "lz4", "zstd", "brotli", "uncompressed")
+
+
+def store_options(path: str, create_if_missing: bool = True, compression: str = "snappy", cache_bytes: int = 0, write_buffer_bytes: int = 128 << 20, max_files: int = 0) -> dict:
+    """Options of a table's files as those of Spark's writer and reader: a write
+    buffer is a row group, a number of files a bound on their rows; caches and
+    open files are Spark's own business."""
+    if compression not in COMPRESSIONS:
+        raise InvalidArgument(f"no compression {compression}")
+    if min(cache_bytes, write_buffer_bytes, max_files) < 0:
+        raise InvalidArgument("sizes are not negative")
+    return {"path": path, "mode": "append" if create_if_missing else "errorifexists", "compression": compression, "parquet.block.size": str(write_buffer_bytes)}
+
+
 def import_pairs(spark: SparkSession, path: str, table: str) -> DataFrame:
     """(table, id, value, __seq) from lines; the first comma ends the id."""
     lines = spark.read.text(path).where("value like '%,%'")

@@ -12,8 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.errors import NotFound, OutOfRange
-from tessella.functions.scalar import kind_of_type, text
+from tessella.errors import InvalidArgument, NotFound, OutOfRange
+from tessella.functions.scalar import kind_of_type, kind_of_value, text
 
 TYPE_NAMES = {"null": "Null", "int": "Integer", "float": "Float", "string": "String", "bool": "Boolean"}
 
@@ -103,5 +103,32 @@ class Cursor:
         self.current = next(self._rows, None)
         return self.current is not None
 
+    def _typed(self, column, kinds, convert):
+        value = self.at(column)
+        if value is None or kind_of_value(value) not in kinds:
+            raise InvalidArgument(f"column {column} holds no such value")
+        return convert(value)
+
+    def int_at(self, column) -> int:
+        return self._typed(column, ("int",), int)
+
+    def float_at(self, column) -> float:
+        """A number as a float."""
+        return self._typed(column, ("int", "float"), float)
+
+    def bool_at(self, column) -> bool:
+        return self._typed(column, ("bool",), bool)
+
+    def string_at(self, column) -> str:
+        return self._typed(column, ("string",), str)
+
+    def is_null(self, column) -> bool:
+        return self.at(column) is None
+
+    def type_of(self, column) -> str:
+        """The declared type's name."""
+        field = self.df.schema[column if isinstance(column, int) else column_index(self.df, column)]
+        return TYPE_NAMES.get(kind_of_type(field.dataType), "String")
+
     def at(self, column):
         return self.current[column if isinstance(column, int) else column_index(self.df, column)]

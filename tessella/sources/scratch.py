@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame
 
+from tessella.errors import FailedPrecondition
+
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in ``spark.checkpoint.dir`` (or beside the
-    warehouse where that is unset) and read back: its lineage ends there."""
+    """``df`` written to the folder in ``spark.checkpoint.dir`` and read back: its
+    lineage ends there.  Where that is unset on a single machine (master
+    ``local``), a folder beside the warehouse takes its place."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise FailedPrecondition("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/level-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["sql_type_rank_compare", "sql_concat_double", "ts_agg_avg_null_denominator", "ts_retention_ttl", "doc_mixed_kinds", "graph_bfs_levels", "dml_update_sequential", "validate_row_errors", "codec_rows_json"])
+@pytest.mark.parametrize("name", ["sql_type_rank_compare", "sql_concat_double", "ts_agg_avg_null_denominator", "ts_retention_ttl", "doc_mixed_kinds", "graph_bfs_levels", "ts_retention_both", "graph_traverse_limit", "dml_update_sequential", "validate_row_errors", "codec_rows_json"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("nation", "customer", "part", "events", "region"):
@@ -35,6 +35,22 @@ def test_against_sql(spark, name):
     assert norm(map(tuple, got.collect())) == norm(want.fetchall())
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_the_surface_against_sql(spark):
+    from tessella.plans import surface
+
+    con = duckdb.connect()
+    for t in ("region", "nation", "customer", "supplier", "events"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for name, (query, sql) in surface.entries().items():
+        want = con.execute(sql)
+        columns = [d[0] for d in want.description]
+        got = query(spark, SF)
+        assert sorted(got.columns) == sorted(columns), name
+        norm = lambda rows: sorted(repr([round(v, 6) if isinstance(v, float) else v for v in r]) for r in rows)
+        assert norm(map(tuple, got.select(*columns).collect())) == norm(want.fetchall()), name
+
+
 def test_without_the_subpackage(tmp_path):
     """The rest imports, and has its queries, where the subpackage and the pipeline are gone."""
     shutil.copytree(f"{ROOT}/tessella", tmp_path / "tessella", ignore=shutil.ignore_patterns("llm", "__pycache__"))

@@ -68,8 +68,8 @@ def test_graph_of_all_edges(spark, far):
             preorder.append(a)
             stack.extend(b for x, b in reversed(links) if x == a)
     run = lambda name: [tuple(r) for r in queries[name](spark, path).collect()]
-    assert max(levels.values()) > 8 and dict(run("graph_bfs_levels_whole")) == levels
-    assert [r[0] for r in run("graph_traverse_dfs_whole")] == preorder
+    assert max(levels.values()) > 8 and dict(run("graph_bfs_levels")) == levels
+    assert [r[0] for r in run("graph_traverse_dfs")] == preorder
     assert [r[0] for r in run("graph_traverse_limit")] == order[:7]
-    assert [r[0] for r in run("graph_match_untyped_whole")] == [b for x, b in links if x == start]
+    assert [r[0] for r in run("graph_match_untyped")] == [b for x, b in links if x == start]
     assert run("graph_unreachable") == []
