@@ -16,6 +16,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 ROW = "_row"
 #: Bytes of text that a partition, and a group that is held whole, should have.
 PARTITION_BYTES, GROUP_BYTES = 256 << 20, 16 << 20
+#: Rows of a file of a stored table of ids.
+FILE_ROWS = 250_000
 #: Rows of a batch that a Python task turns into strings at once.
 SLICE_ROWS = 512
 #: Paths of the tables stored in this application that nothing has deleted yet.
@@ -40,9 +42,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
+def stored(df: DataFrame, name: str = "table", rows: int | None = None) -> DataFrame:
     """``df`` written to the shared folder and read back: a cut in the lineage
-    that survives lost executors and computes its input only once."""
+    that survives lost executors and computes its input only once.  Where a
+    bound on its ``rows`` is known, it has files of about ``FILE_ROWS`` each."""
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     STORED.add(path)

@@ -30,12 +30,12 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     state = _state(links)
     while state[0]:
         both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-        large = stored(_star(both, least, F.col("v") > F.col("u")).distinct(), "links")
+        least = stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least", 2 * state[0])
+        large = stored(_star(both, least, F.col("v") > F.col("u")).distinct(), "links", 2 * state[0])
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least_down = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least_down = stored(down.groupBy("u").agg(F.min("v").alias("m")), "least", 2 * state[0])
         small = _star(down, least_down, F.lit(True)).unionByName(least_down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        small = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        small = stored(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links", 2 * state[0])
         now = _state(small)
         for old in (links, least, large, least_down):
             discard(old)

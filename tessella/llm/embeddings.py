@@ -354,7 +354,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 yield pa.record_batch([pa.array(who), pa.nulls(len(who), pa.int64()), pa.array(to)], ["rep", "found", "joined"])
 
     linked = stored(met.mapInArrow(verify, "rep long, found long, joined long"), "linked")
-    roots = stored(components(linked.where("joined is not null"), "rep", "joined").withColumnRenamed("node", "rep"), "roots")
+    roots = stored(components(linked.where("joined is not null"), "rep", "joined").withColumnRenamed("node", "rep"), "roots", total)
     counted = linked.where("found is not null").groupBy("rep").agg(F.sum("found").alias("found"))
     about = classes.join(counted, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     about = stored(about.select("label", "v", "root", "least", (F.coalesce("found", F.lit(0)) + F.col("n") - 1).alias("n_links")), "about")

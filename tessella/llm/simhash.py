@@ -187,9 +187,9 @@ def narrowed(hot: DataFrame, distance: int) -> DataFrame:
     return hot.join(differ, ["t", "key"]).select("block", "bits", F.col("a").alias("fp")).mapInArrow(run, "t long, key long, fp long")
 
 
-def links(distinct: DataFrame, fp_col: str = "fp", distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between distinct fingerprints that join all that are joined."""
-    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(distinct.count(), distance)]
+def links(distinct: DataFrame, count: int, fp_col: str = "fp", distance: int = DISTANCE) -> DataFrame:
+    """(a, b): links between ``count`` distinct fingerprints that join all that are joined."""
+    masks = [m - (1 << 64) if m >= 1 << 63 else m for m in block_masks(count, distance)]
     keys = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col(fp_col).bitwiseAND(F.lit(m).cast("long")).alias("key")) for t, m in enumerate(masks)])
     rows = distinct.select(F.explode(keys).alias("k"), F.col(fp_col).alias("fp")).select("k.t", "k.key", "fp")
     out = None
@@ -245,10 +245,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, fp, component_id), a row for each input row."""
     marked = stored(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    found = stored(components(links(distinct, "fp", distance), "a", "b"), "components")
+    total = distinct.count()
+    found = stored(components(links(distinct, total, "fp", distance), "a", "b"), "components", total)
     rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least")
-    classes = stored(rooted.join(least, "root").select("fp", "component_id"), "classes")
+    least = stored(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "least", total)
+    classes = stored(rooted.join(least, "root").select("fp", "component_id"), "classes", total)
     return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -22,7 +22,7 @@ def test_blocks_with_very_many_fingerprints(spark, monkeypatch):
     df = spark.createDataFrame([(f,) for f in fps], "fp long").repartition(3)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")  # groups span batches
     try:
-        got = simhash.components(simhash.links(df), "a", "b").collect()
+        got = simhash.components(simhash.links(df, len(fps)), "a", "b").collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     root = {f: f for f in fps} | {r.node: r.root for r in got}
