@@ -28,6 +28,7 @@ result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 
@@ -140,15 +141,25 @@ def plain_words(words: list[bytes]) -> set[bytes]:
     return {v for w in words if (v := w.strip(EDGES))}
 
 
+@functools.lru_cache(maxsize=None)  # of a bounded sample, and only while a model is fitted
+def terms_of(text: str | None) -> frozenset[bytes]:
+    return frozenset(t for w in plain_words(words_of(text)) for t in terms(w))
+
+
+@functools.lru_cache(maxsize=None)
+def training_windows(text: str | None) -> tuple[bytes, ...]:
+    return tuple(windows(words_of(text), 32))
+
+
 def ordinary_windows(texts: list[str]) -> list[bytes]:
     """Training windows of 32 words, at most ``ORDINARY_WINDOWS``, spread evenly over all texts."""
-    counts = [-(-len(words_of(t)) // 32) for t in texts]
+    counts = [len(training_windows(t)) for t in texts]
     total, out, at = max(1, sum(counts)), [], 0
     take = min(sum(counts), ORDINARY_WINDOWS)
     for text, n in zip(texts, counts):
         first, last = -(-at * take // total), -(-(at + n) * take // total)  # the k-th is window k * total // take
         if first < last:
-            parts = windows(words_of(text), 32)
+            parts = training_windows(text)
             out += [parts[k * total // take - at] for k in range(first, last)]
         at += n
     return out
@@ -168,10 +179,10 @@ def learn(docs) -> tuple[bytes, bytes]:
         seen.update(mark)
     known, other = Counter(), Counter()
     for text in own[1]:
-        known.update({t for w in plain_words(words_of(text)) for t in terms(w)})
+        known.update(terms_of(text))
     known = {t: n for t, n in known.items() if n > 2}
     for text in own[0]:
-        other.update(known.keys() & {t for w in plain_words(words_of(text)) for t in terms(w)})
+        other.update(known.keys() & terms_of(text))
     least, n = 2 * math.log(max(2, len(known))) + MARGIN, (max(1, len(own[0])), len(own[1]))
     toxic = {t for t, a in known.items() if evidence(a, other[t], n[1], n[0]) >= least}
     found = [b" " + b" ".join(v for w in words_of(text) if (v := w.strip(EDGES)) and not toxic.isdisjoint(terms(v))) + b" " for text in own[1]]
@@ -193,6 +204,8 @@ def fit(rows) -> dict:
         x += [savings(t) for k, (t, *_) in enumerate(docs) if k % FOLDS == fold]
         labels += [y for k, (*_, y) in enumerate(docs) if k % FOLDS == fold]
     ordinary, taught = learn(docs)
+    terms_of.cache_clear()
+    training_windows.cache_clear()
     return {"ordinary": ordinary, "toxic": taught, "weights": logistic(x, labels, weight=TOXIC_WEIGHT)}
 
 
