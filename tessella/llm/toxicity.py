@@ -141,12 +141,11 @@ def plain_words(words: list[bytes]) -> set[bytes]:
     return {v for w in words if (v := w.strip(EDGES))}
 
 
-@functools.lru_cache(maxsize=None)  # of a bounded sample, and only while a model is fitted
-def terms_of(text: str | None) -> frozenset[bytes]:
-    return frozenset(t for w in plain_words(words_of(text)) for t in terms(w))
+def terms_of(text: str | None) -> set[bytes]:
+    return {t for w in plain_words(words_of(text)) for t in terms(w)}
 
 
-@functools.lru_cache(maxsize=None)
+@functools.lru_cache(maxsize=None)  # of a bounded sample, and only while a model is fitted
 def training_windows(text: str | None) -> tuple[bytes, ...]:
     return tuple(windows(words_of(text), 32))
 
@@ -204,7 +203,6 @@ def fit(rows) -> dict:
         x += [savings(t) for k, (t, *_) in enumerate(docs) if k % FOLDS == fold]
         labels += [y for k, (*_, y) in enumerate(docs) if k % FOLDS == fold]
     ordinary, taught = learn(docs)
-    terms_of.cache_clear()
     training_windows.cache_clear()
     return {"ordinary": ordinary, "toxic": taught, "weights": logistic(x, labels, weight=TOXIC_WEIGHT)}
 
