@@ -24,6 +24,8 @@ from tessella.llm.suffix import Rolling
 
 K = 128
 WORDS = 5
+#: Keys whose sketches a task merges at once.
+MERGE_KEYS = 4096
 
 
 class Sketcher:
@@ -124,31 +126,54 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string, n_shingles double")
 
 
-def merged(made: DataFrame, key: str, k: int = K) -> DataFrame:
-    """(key, fingerprint, n_shingles) of the union of each key's sketches.
+def merged(made: DataFrame, key: str, k: int = K, keys: int = MERGE_KEYS) -> DataFrame:
+    """(key, fingerprint, n_shingles) of the union of each key's sketches; a null key is a key too.
 
-    Each task first merges what it reads, so that a hot key sends one sketch a
-    task and its group is small.
+    Each task first merges what it reads, ``keys`` keys at a time, so that
+    a hot key sends few sketches; these meet sorted by key and are merged one
+    after another, so that no group is held.
     """
     import pyarrow as pa
 
     kind = made.schema[key].dataType.simpleString()
 
     def partial(batches):
-        held = {}
+        held, id_type = {}, None
+
+        def flushed():
+            return pa.record_batch([pa.array([*held], id_type), pa.array([text_of(merge(x, k)) for x in held.values()], pa.string())], [key, "fingerprint"])
+
         for batch in batches:
+            id_type = batch.column(0).type
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 held.setdefault(name, []).append(of_text(text))
                 if len(held[name]) > 64:
                     held[name] = [merge(held[name], k)]
-        yield pa.record_batch([pa.array(held, batch.column(0).type if held else None), pa.array([text_of(merge(x, k)) for x in held.values()], pa.string())], [key, "fingerprint"]) if held else pa.record_batch([pa.array([]), pa.array([], pa.string())], [key, "fingerprint"])
-
-    def final(table):
-        total = merge([of_text(x) for x in table.column(1).to_pylist()], k)
-        return pa.table([table.column(0)[:1], pa.array([text_of(total)]), pa.array([distinct(total, k)])], [key, "fingerprint", "n_shingles"])
+                if len(held) >= keys:
+                    yield flushed()
+                    held.clear()
+        if held:
+            yield flushed()
+
+    def final(batches):
+        last, total = None, None
+        for batch in batches:
+            out, id_type = [], batch.column(0).type
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = of_text(text)
+                if total is not None and name == last:
+                    total = merge([total, own], k)
+                    continue
+                if total is not None:
+                    out.append((last, text_of(total), distinct(total, k)))
+                last, total = name, own
+            columns = [*zip(*out)] or [()] * 3
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (id_type, pa.string(), pa.float64()))], [key, "fingerprint", "n_shingles"])
+        if total is not None:
+            yield pa.record_batch([pa.array([last], id_type), pa.array([text_of(total)]), pa.array([distinct(total, k)])], [key, "fingerprint", "n_shingles"])
 
     parts = made.select(key, "fingerprint").mapInArrow(partial, f"{key} {kind}, fingerprint string")
-    return parts.groupBy(key).applyInArrow(final, f"{key} {kind}, fingerprint string, n_shingles double")
+    return parts.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(final, f"{key} {kind}, fingerprint string, n_shingles double")
 
 
 def edited(text: str, following: str) -> str:

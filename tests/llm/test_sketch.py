@@ -75,3 +75,16 @@ def test_merge_and_estimates(make_docs):
     half = parts[0] + " " + parts[1]
     assert sketch.containment(make(parts[0]), make(half)) > 0.85
     assert abs(sketch.containment(make(half), make(parts[0])) - 0.5) < 0.2
+
+
+def test_merge_in_parts(make_docs):
+    """Few keys held at once, a null key, and tasks without rows."""
+    texts = [" ".join(f"w{(7 * i + j) % 90}" for j in range(40)) for i in range(30)]
+    key = lambda i: None if i % 3 == 0 else f"s{i % 5}"
+    docs = make_docs([(i, t, key(i)) for i, t in enumerate(texts)], parts=40)
+    made = sketch.sketches(docs).join(docs.select("doc_id", "source"), "doc_id").repartition(40, "doc_id")
+    got = {x.source: x.fingerprint for x in sketch.merged(made, "source", keys=2).collect()}
+    make = sketch.Sketcher()
+    want = {key(i): sketch.text_of(sketch.merge([make(t) for j, t in enumerate(texts) if key(j) == key(i)])) for i in range(30)}
+    assert got == want
+    assert sketch.merged(made.where("doc_id < 0"), "source").collect() == []
