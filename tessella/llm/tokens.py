@@ -211,12 +211,13 @@ def frequent_units(docs: DataFrame, id_col: str, text_col: str, path: str, units
     each with its byte length before it, and their token counts.
 
     The table only saves time: units outside it are encoded exactly.  The
-    sample is drawn by a hash of the id, ``sample`` documents on average.
+    sample is drawn by a hash of the id and the text, so that rows which share an
+    id (a null one, too) are not all drawn: ``sample`` documents on average.
     """
     import pyarrow as pa
 
     rows = docs.count()
-    picked = docs.where(F.col(text_col).isNotNull() & (F.expr(f"pmod(xxhash64({id_col}, 5), {max(1, -(-rows // sample))})") == 0)).select(text_col)
+    picked = docs.where(F.col(text_col).isNotNull() & (F.expr(f"pmod(xxhash64({id_col}, {text_col}, 5), {max(1, -(-rows // sample))})") == 0)).select(text_col)
 
     def count(batches):
         from collections import Counter
