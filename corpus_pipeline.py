@@ -6,7 +6,7 @@ documents.  All but the last return the columns of documents.  Ids may be null
 or repeated: stages tell rows apart by a key of their own.
 
 1. toxicity: documents that score 0.5 or more go.
-2. simhash: of documents joined by a similarity of 0.8 or more of their five-word shingles the one with the smallest id stays.
+2. simhash: of documents joined by a similarity of 0.8 or more of their five-word shingles, as proposed by their SimHash, the one with the smallest id stays.
 3. suffix_dedup: passages of 100 bytes or more that came earlier are cut from the texts, by whole characters.
 4. mixing: sources are cut or repeated to their targets; a document appears once for each time it is taken, the last time cut to the words taken.
 5. packing: the documents' tokens in sequences of 4096.

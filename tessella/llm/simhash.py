@@ -49,6 +49,25 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> bytes
     return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes()
 
 
+def majority(hashes, words: int):
+    """The bits, 0 or 1, of a SimHash of 64 * ``words`` bits over distinct 64-bit
+    hashes.  The first 64 are voted on by the hashes themselves, as those of
+    ``fingerprint`` are, each 64 more by another mixture of them."""
+    import numpy as np
+
+    steps = np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    votes = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # so many votes fit a byte
+        own = hashes[at : at + 255]
+        z = own[:, None] + steps
+        z = (z ^ z >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ z >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+        z[:, 0] = own
+        votes += np.add.reduce(np.unpackbits(z.astype(">u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return (2 * votes > len(hashes)).view(np.uint8)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """(doc_id, fp): the fingerprint as a signed long with the same bits."""
     import pyarrow as pa
