@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.errors import AlreadyExists, InvalidArgument, NotFound
 from tessella.plans.compiler import SEQ
-from tessella.sources.scratch import stored
+from tessella.sources.scratch import numbered, stored
 
 NODE = "id long, labels array<string>, properties map<string,string>"
 EDGE = f"id long, src long, dst long, type string, labels array<string>, properties map<string,string>, {SEQ} long"
@@ -45,25 +45,6 @@ def match(edges: DataFrame, node: int, kind: str | None = None) -> DataFrame:
     return out.orderBy(SEQ).select(F.col("dst").alias("node_id"))
 
 
-def _ranked(level: DataFrame, count: int) -> tuple[DataFrame, int]:
-    """``level`` (id, parent, by_rank, by_seq) with the rank of each node in the
-    order of discovery, and the number of nodes.
-
-    The level is range-sorted and stored with each row's place in its range;
-    the sizes of the ranges (as many as shuffle partitions) say where each begins.
-    """
-    order = ["by_rank", "by_seq"]
-    placed = level.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
-    placed = stored(placed.select("id", "parent", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("place")))
-    sizes = {r.part: r.n for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, at = [], count
-    for part in range(max(sizes, default=-1) + 1):
-        starts.append(at)
-        at += sizes.get(part, 0)
-    base = F.get(F.array(*[F.lit(x).cast("long") for x in starts]), F.col("part").cast("int")) if starts else F.lit(0)
-    return placed.select("id", "parent", (F.col("place") + base).alias("rank")), at - count
-
-
 def breadth_first(edges: DataFrame, start: int, limit: int = 0, goal: int | None = None) -> DataFrame:
     """(id, parent, rank, level) of the nodes reached, in the order of a queue:
     a level's nodes by their first parent's rank, then by that edge's order.
@@ -78,7 +59,7 @@ def breadth_first(edges: DataFrame, start: int, limit: int = 0, goal: int | None
         level += 1
         found = frontier.join(links, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), F.col("id").alias("parent"), F.col("rank").alias("by_rank"), F.col(SEQ).alias("by_seq"))
         first = found.groupBy("id").agg(F.min(F.struct("by_rank", "by_seq", "parent")).alias("f")).select("id", "f.*")
-        ranked, added = _ranked(first.join(seen.select("id"), "id", "left_anti"), count)
+        ranked, added = numbered(first.join(seen.select("id"), "id", "left_anti"), ["by_rank", "by_seq"], "rank", count)
         if not added:
             break
         frontier = ranked.withColumn("level", F.lit(level)).select("id", "parent", "rank", "level")

@@ -19,7 +19,7 @@ from tessella.operators import predicate as P
 from tessella.operators.validate import check_rows, check_types
 from tessella.plans.compiler import SEQ
 from tessella.schema import SeriesSchema
-from tessella.sources.scratch import stored
+from tessella.sources.scratch import numbered
 
 #: Units a second, or seconds a unit.
 PARTS = {"ns": 1_000_000_000, "us": 1_000_000, "ms": 1000, "s": 1}
@@ -113,7 +113,9 @@ def retain_ttl(df: DataFrame, tsec: SparkColumn, seq: str, ttl: int, spans: int
     on is newer by more.
 
     The running maximum is distributed: spans of ``seq`` of about the root of
-    the row count (or ``spans``) are summed up first, then each runs on its own.
+    the row count (or ``spans``) are summed up first, then each runs on its own,
+    from the last row backwards, as Spark sums anew for each row a frame that
+    only loses rows.
     """
     low, high, count = df.agg(F.min(seq), F.max(seq), F.count(F.lit(1))).first()
     if low is None:
@@ -121,8 +123,8 @@ def retain_ttl(df: DataFrame, tsec: SparkColumn, seq: str, ttl: int, spans: int
     step = max(1, -(-(high - low + 1) // (spans or math.isqrt(count) + 1)))
     rows = df.withColumn("_t", tsec).withColumn("_span", F.expr(f"cast((`{seq}` - {low}) div {step} as bigint)"))
     tops = rows.groupBy("_span").agg(F.max("_t").alias("_top"))
-    tops = tops.select("_span", F.max("_top").over(Window.orderBy("_span").rowsBetween(1, Window.unboundedFollowing)).alias("_later"))
-    own = Window.partitionBy("_span").orderBy(seq).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    tops = tops.select("_span", F.max("_top").over(Window.orderBy(F.desc("_span")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    own = Window.partitionBy("_span").orderBy(F.desc(seq)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(tops, "_span").withColumn("_newest", F.greatest(F.max("_t").over(own), "_later"))
     return rows.where(F.col("_t") >= F.col("_newest") - ttl).select(*df.columns)
 
@@ -258,8 +260,7 @@ class TimeSeries:
                 raise InvalidArgument("the timestamp is no whole number")
             check_types(table, table.names, new.schema)
             if order:
-                ranged = stored(new.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_place", F.monotonically_increasing_id()))
-                new = ranged.withColumn(SEQ, F.col("_place"))
+                new = numbered(new, [order], "__place")[0].withColumn(SEQ, F.col("__place"))
             else:
                 new = new.withColumn(SEQ, F.monotonically_increasing_id())
             new = new.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in table.struct().fields], SEQ)
