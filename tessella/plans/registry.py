@@ -38,7 +38,8 @@ def session(spark, sf_dir, name) -> Relational:
     if name == "events":
         e = events(spark, sf_dir)
         db.register("events", e.select("event_id", "ts_s", "user_id", "event_type", "value", "holed", "props"), "event_id")
-        db.register("metrics", e.select(F.col("ts_s").alias("timestamp"), "user_id", "value"), "timestamp")
+        # rows of one second come in the order of their ids
+        db.register("metrics", e.select(F.col("ts_s").alias("timestamp"), "event_id", "user_id", "value"), "event_id")
     else:
         db.register(name, table(spark, sf_dir, name))
     return db
