@@ -29,11 +29,28 @@ def _path(name: str) -> str:
     return "$['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
 
 
+def once(value: SparkColumn, body) -> SparkColumn:
+    """``body`` of a value that is computed once a row, however often it is used.
+    Catalyst puts the text of a column into each place that names it, so that a
+    document would be parsed anew at each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _held(doc: SparkColumn, name: str) -> SparkColumn:
+    return F.variant_get(doc, _path(name), "variant")
+
+
+def _kind(value: SparkColumn) -> SparkColumn:
+    def named(shape):
+        kind = F.when(shape == "STRING", "string").when(shape == "BIGINT", "int").when(shape == "BOOLEAN", "bool")
+        return kind.when((shape == "DOUBLE") | (shape == "FLOAT") | shape.startswith("DECIMAL"), "float")
+
+    return once(F.schema_of_variant(value), named)
+
+
 def kind_column(doc: SparkColumn, name: str) -> SparkColumn:
     """The kind of a field as a string; NULL where it is missing or null."""
-    shape = F.schema_of_variant(F.variant_get(doc, _path(name), "variant"))
-    kind = F.when(shape == "STRING", "string").when(shape == "BIGINT", "int").when(shape == "BOOLEAN", "bool")
-    return kind.when((shape == "DOUBLE") | (shape == "FLOAT") | shape.startswith("DECIMAL"), "float")
+    return _kind(_held(doc, name))
 
 
 def field(doc: SparkColumn, name: str, kind: str) -> SparkColumn:
@@ -44,17 +61,22 @@ def compare(doc: SparkColumn, p: P.Cmp) -> SparkColumn:
     """A field against a value: by value in one kind or between numbers, by kind otherwise."""
     if p.value is None:
         return F.lit(False)
-    want, got = kind_of_value(p.value), kind_column(doc, p.column)
-    if numeric(want):
-        same = OPS[p.op](field(doc, p.column, "float"), literal(float(p.value)))
-        if want == "int":
-            same = F.when(got == "int", OPS[p.op](field(doc, p.column, "int"), literal(p.value))).otherwise(same)
-        out = F.when(got.isin("int", "float"), same)
-    else:
-        out = F.when(got == want, OPS[p.op](field(doc, p.column, want), literal(p.value)))
-    for kind, rank in RANK.items():
-        out = out.when(got == kind, F.lit(bool(OPS[p.op](rank, RANK[want]))))
-    return out
+    want = kind_of_value(p.value)
+
+    def of_kind(value, got):
+        held = lambda kind: F.try_variant_get(value, "$", SPARK_TYPE[kind])
+        if numeric(want):
+            same = OPS[p.op](held("float"), literal(float(p.value)))
+            if want == "int":
+                same = F.when(got == "int", OPS[p.op](held("int"), literal(p.value))).otherwise(same)
+            out = F.when(got.isin("int", "float"), same)
+        else:
+            out = F.when(got == want, OPS[p.op](held(want), literal(p.value)))
+        for kind, rank in RANK.items():
+            out = out.when(got == kind, F.lit(bool(OPS[p.op](rank, RANK[want]))))
+        return out
+
+    return once(_held(doc, p.column), lambda value: once(_kind(value), lambda got: of_kind(value, got)))
 
 
 def matching(docs: DataFrame, where, doc_col: str = "doc") -> DataFrame:
@@ -146,22 +168,27 @@ class Documents:
 
 def document_errors(docs: DataFrame, schema: DocumentSchema, doc_col: str = "doc") -> DataFrame:
     """``docs`` with a column ``error``: the first broken rule of each document, or NULL; further fields are allowed."""
-    doc, tests = F.col(doc_col), []
-    for name, c in schema.fields.items():
-        kind = kind_column(doc, name)
+
+    def error(c, value, kind):
+        tests = []
         if not c.nullable:
-            tests.append((kind.isNull(), f"{name} is missing"))
+            tests.append((kind.isNull(), f"{c.name} is missing"))
         fits = kind.isin("int", "float") if c.kind == "float" else kind == c.kind
-        tests += [(kind.isNotNull() & ~fits & (kind == k), f"{name} is {c.kind}, not {k}") for k in ("int", "float", "string", "bool") if k != c.kind]
+        tests += [(kind.isNotNull() & ~fits & (kind == k), f"{c.name} is {c.kind}, not {k}") for k in ("int", "float", "string", "bool") if k != c.kind]
         if c.kind == "string":
-            value = field(doc, name, "string")
-            broken = (F.octet_length(value) < (c.min_length or 0)) | (F.octet_length(value) > (c.max_length if c.max_length is not None else (1 << 31) - 1))
-            tests.append((broken | ~value.isin(*c.one_of) if c.one_of else broken, f"{name} breaks its constraints"))
+            text = F.try_variant_get(value, "$", "string")
+            broken = (F.octet_length(text) < (c.min_length or 0)) | (F.octet_length(text) > (c.max_length if c.max_length is not None else (1 << 31) - 1))
+            tests.append((broken | ~text.isin(*c.one_of) if c.one_of else broken, f"{c.name} breaks its constraints"))
         if c.kind in ("int", "float") and (c.min_value is not None or c.max_value is not None):
-            value = field(doc, name, "float")
+            number = F.try_variant_get(value, "$", "double")
             low, high = (float(x) if x is not None else y for x, y in ((c.min_value, -float("inf")), (c.max_value, float("inf"))))
-            tests.append(((value < low) | (value > high), f"{name} is out of range"))
-    return docs.withColumn("error", F.coalesce(*[F.when(t, F.lit(m)) for t, m in tests], F.lit(None).cast("string")))
+            tests.append(((number < low) | (number > high), f"{c.name} is out of range"))
+        return F.coalesce(*[F.when(t, F.lit(m)) for t, m in tests], F.lit(None).cast("string"))
+
+    def first_error(c):
+        return once(_held(F.col(doc_col), c.name), lambda value: once(_kind(value), lambda kind: error(c, value, kind)))
+
+    return docs.withColumn("error", F.coalesce(*map(first_error, schema.fields.values()), F.lit(None).cast("string")))
 
 
 def check_unique(docs: DataFrame, schema: DocumentSchema, ignore_nulls: bool = True) -> None:

@@ -6,9 +6,11 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessella.operators import document as D
+from tessella.operators import predicate as P
 from tessella.operators import timeseries as TS
 from tessella.plans.compiler import SEQ
-from tessella.schema import Column, SeriesSchema
+from tessella.schema import Column, DocumentSchema, SeriesSchema
 from tests.test_models import model_retention
 
 
@@ -38,3 +40,12 @@ def test_appended_frames_are_numbered_without_gaps(spark):
 def test_retention_never_sums_a_frame_anew(spark):
     df = spark.range(100).select(F.col("id").alias("seq"), F.col("id").alias("t"))
     assert "unboundedfollowing" not in plan(TS.retain_ttl(df, F.col("t"), "seq", 10)).lower()
+
+
+def test_a_document_is_parsed_once_for_a_comparison(spark):
+    docs = spark.range(9).select(F.col("id").cast("string").alias("key"), F.parse_json(F.format_string('{"v":%d}', "id")).alias("doc"))
+    for value in ("n5", 5, 2.5, True):
+        assert plan(D.matching(docs, P.cmp("v", ">=", value)).select("key")).split("Filter", 1)[1].split("\n")[0].count("parseJson") == 1
+    checked = D.document_errors(docs, DocumentSchema([Column("v", "int", nullable=False, max_value=5)])).select("error")
+    assert plan(checked).count("parseJson") == 1
+    assert [r.error for r in checked.collect()].count("v is out of range") == 3
